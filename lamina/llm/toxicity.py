@@ -84,7 +84,7 @@ def _layout(col: pa.Array):
     return raw, off, starts, first, sent
 
 
-def fit(texts: list[str], labels: np.ndarray, *, features: int = 8192, epochs: int = 150, rate: float = 0.25, decay: float = 1e-5) -> dict:
+def fit(texts: list[str], labels: np.ndarray, *, features: int = 8192, epochs: int = 150, rate: float = 0.25, decay: float = 1e-4) -> dict:
     """Sentence weights from document labels, by gradient descent on the noisy-or likelihood."""
     docs_n = np.array([int((labels == 0).sum()), int((labels == 1).sum())])
     seen = np.zeros((2, 1 << BITS), np.int32)
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_r
     return pickle.loads(bytes(got[0].model)) if got else {"bias": -30.0, "at": np.zeros(0, np.int32), "w": np.zeros(0, np.float32)}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """(doc_id, score, toxic, sentences) for every row; ``sentences`` locates the offending ones.
 
     ``score`` is the noisy-or of the sentence scores; each offending sentence comes with its
@@ -228,7 +228,7 @@ def locate(s, p, starts, first, raw, off, threshold: float) -> list:
     return out
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns; null text stays."""
     model = train(docs, labels, id_col=id_col, text_col=text_col, **training)
     (t,) = fresh(docs, "__text")
