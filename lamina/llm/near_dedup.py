@@ -18,6 +18,8 @@ from lamina.llm.text import mix, shingles, word_hashes
 ROWS, BANDS, SHINGLE = 4, 40, 3
 HASHES = ROWS * BANDS
 BATCH = 16
+#: The largest filter of ids that is sent to every task.
+BLOOM_BYTES = 32 << 20
 
 
 @lru_cache(1)
@@ -103,16 +105,55 @@ def _prune(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _bloom_at(ids: np.ndarray, bits: int) -> np.ndarray:
+    """(4, ids) places of ids in a Bloom filter of ``bits`` bits, a power of two."""
+    with np.errstate(over="ignore"):
+        return np.stack([mix(ids.view(np.uint64) * np.uint64(2 * k + 1) + np.uint64(k)) & np.uint64(bits - 1) for k in range(4)]).astype(np.int64)
+
+
+def _bloom(ids: DataFrame) -> bytes | None:
+    """A filter of the ids, about 2 % false positives; None beyond ``BLOOM_BYTES``."""
+    n = ids.count()
+    bits = 1 << max(13, (10 * n).bit_length())
+    if bits // 8 > BLOOM_BYTES:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            at = _bloom_at(b.column(0).to_numpy(), bits).ravel()
+            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    # a row a task, each as long as the filter: few tasks write it
+    for r in ids.coalesce(4).mapInArrow(run, "bits binary").collect():
+        out |= np.frombuffer(bytes(r.bits), np.uint8)
+    return out.tobytes()
+
+
 def _shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items) of the wanted documents.  A Bloom filter, where it is small enough to send out,
+    keeps the other texts from being shuffled to learn that they are not wanted."""
+    bloom = _bloom(ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bloom, np.uint8) if bloom else None
         for b in batches:
+            if held is not None:
+                at = _bloom_at(b.column(0).to_numpy(), len(held) * 8)
+                b = b.filter(pa.array(((held[at >> 3] >> (at & 7)) & 1).all(0)))
             col = texts_of(b)
             for lo, hi in slices(col):
                 h, off = shingles(*word_hashes(col.slice(lo, hi - lo)), SHINGLE)
                 sets = [np.unique(h[p:q]).tobytes() for p, q in zip(off[:-1], off[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "items"])
 
-    return docs.filter("text IS NOT NULL").join(ids, docs["doc_id"] == ids["want"], "left_semi").mapInArrow(run, "id bigint, items binary")
+    live = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    if bloom is None:
+        return live.join(ids, live["doc_id"] == ids["want"], "left_semi").mapInArrow(run, "id bigint, items binary")
+    sets = live.mapInArrow(run, "id bigint, items binary")
+    return sets.join(ids, sets["id"] == ids["want"], "left_semi")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -174,9 +215,9 @@ def near_groups(docs: DataFrame, *, threshold: float = 0.5, miss: float = 0.005,
     """(doc_id, group_id) of the documents with a near-duplicate; ``group_id`` is the smallest id.
 
     Similarity is the Jaccard index of sets of three lower-cased words.  Documents that agree in any
-    of 40 bands of 4 minima are candidates.  First each member of a bucket meets the bucket's
-    smallest id; what these verified pairs leave in separate groups then meets pairwise, so every
-    candidate pair is either verified or already in one group: nothing is capped.  A pair is dropped
+    of 40 bands of 4 minima are candidates.  First each document meets the smallest id of its buckets,
+    then the smallest of each bucket, then what still lies in separate groups of a bucket meets
+    pairwise: every candidate pair is either verified or already in one group, and nothing is capped.  A pair is dropped
     once the posterior of reaching ``threshold`` falls below ``miss``; survivors are compared in full.
     Groups are the connected parts.  Rows with null id, or null or wordless text, join no group;
     rows that share an id are one document; texts of fewer than three words are one shingle.
@@ -191,16 +232,50 @@ def near_groups(docs: DataFrame, *, threshold: float = 0.5, miss: float = 0.005,
     members = settled(members.distinct(), "members")
     sig = sigs.select("doc_id", "sig").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     sig = settled(sig, "candidates")
-    stars = settled(members.filter("doc_id != head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    edges = settled(_verify(settled(_prune(stars, sig, threshold, miss), "survivors"), few, threshold), "verified")
-    first = settled(components(edges), "groups")
-    at = members.select("doc_id", "key").join(first, "doc_id", "left").withColumn("part", F.coalesce("group_id", "doc_id")).select("doc_id", "key", "part")
-    split = at.select("*", F.min("part").over(w).alias("lo"), F.max("part").over(w).alias("hi")).filter("lo != hi").select("doc_id", "key", "part")
-    split = settled(split, "split")
+    groups, met = None, None
+    for step in (_nearest_heads, _all_heads, _all_pairs):
+        pairs = step(members, groups)
+        if met is not None:
+            pairs = pairs.join(met, ["a", "b"], "left_anti")
+        pairs = settled(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        met = pairs if met is None else met.unionByName(pairs)
+        found = _verify(settled(_prune(pairs, sig, threshold, miss), "survivors"), few, threshold).select("a", "b")
+        if groups is not None:
+            found = found.unionByName(groups.filter("doc_id != group_id").select(F.col("doc_id").alias("a"), F.col("group_id").alias("b")))
+        groups = settled(components(found), "groups")
+    return groups if groups is not None else spark.createDataFrame([], "doc_id bigint, group_id bigint")
+
+
+def _nearest_heads(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Each document with the smallest id among its buckets' smallest: one pair a document."""
+    return members.groupBy("doc_id").agg(F.min("head").alias("a")).filter("doc_id != a").select("a", F.col("doc_id").alias("b"))
+
+
+def _parts(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Members of the buckets that still hold several groups, with their group."""
+    if groups is None:
+        at = members.withColumn("part", F.col("doc_id"))
+    else:
+        at = members.join(groups, "doc_id", "left").withColumn("part", F.coalesce("group_id", "doc_id"))
+    w = Window.partitionBy("key")
+    return at.select("doc_id", "key", "head", "part", F.min("part").over(w).alias("lo"), F.max("part").over(w).alias("hi")).filter("lo != hi")
+
+
+def _all_heads(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Each document with the smallest id of every bucket where that is of another group."""
+    at = _parts(members, groups)
+    first = F.min(F.struct("doc_id", "part")).over(Window.partitionBy("key"))
+    at = at.withColumn("first", first).filter("part != first.part")
+    return at.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _all_pairs(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Every two documents of a bucket that are of different groups."""
+    split = settled(_parts(members, groups).select("doc_id", "key", "part"), "split")
     x, y = split.select(F.col("doc_id").alias("a"), "key", F.col("part").alias("pa")), split.select(F.col("doc_id").alias("b"), "key", F.col("part").alias("pb"))
-    cross = x.join(y, "key").filter("a < b AND pa != pb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verify(settled(_prune(cross, sig, threshold, miss), "survivors"), few, threshold)
-    return components(settled(first.filter("doc_id != group_id").select(F.col("doc_id").alias("a"), F.col("group_id").alias("b")).unionByName(more.select("a", "b")), "edges"))
+    return x.join(y, "key").filter("a < b AND pa != pb").select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
