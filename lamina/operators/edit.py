@@ -326,9 +326,16 @@ class WorkingRecord:
         """What the edited keys must repeat of the base, as a layer owns whole what it owns: the rows
         of their keys whose coordinate no staged row covers; a staged NULL covers every label."""
         s = self.schema
-        base = self._base.attribute(attribute)
-        owned = expand(staged.select("name", "bus", *map(q, s.input_dims)), s.input_dims, self._base.axes).distinct()
-        return anti(semi(base, owned, ["name", "bus", *s.input_dims]), staged, ["name", "bus"], list(s.dimensions))
+        key = ["name", "bus", *s.input_dims]
+        owned = expand(staged.select(*map(q, key), *map(q, s.whole_dims)), s.input_dims, self._base.axes).distinct()
+        rows = semi(self._base.attribute(attribute), owned, key)
+        spec = s.spec(attribute)
+        for d in s.whole_dims:
+            if d in self._base.axes and spec is not None and d in spec.dims:
+                # labels were edited under a row that holds for all: it goes on for the others
+                named = owned.filter(q(d).isNotNull())
+                rows = expand(semi(rows, named, key), [d], self._base.axes).unionByName(anti(rows, named, key))
+        return anti(rows, staged, ["name", "bus"], list(s.dimensions))
 
     def staged_layer(self) -> Layer:
         entities: dict[str, dict[str, DataFrame]] = {"components": {}, "connections": {}}
