@@ -347,9 +347,16 @@ class WorkingRecord:
                     keep = dict.fromkeys(c for cols in own for c in cols)
                     out[t] = rows.filter(q("component_type") == t).withColumn("_row", q("_seq").cast("bigint")).select(*map(q, keep), "_row")
 
+        held: dict[str, DataFrame] = {}
+
         def inputs(a: str) -> DataFrame:
-            staged = self.collapsed_values(a)
-            return staged.unionByName(self.restated(a, staged)) if any(a in x.inputs for x in self._base.layers) else staged
+            if a not in held:
+                staged = self.collapsed_values(a)
+                if any(a in x.inputs for x in self._base.layers):
+                    # read by the owner map and by the rows, and written at commit: computed once
+                    staged = settled(staged.unionByName(self.restated(a, staged)))
+                held[a] = staged
+            return held[a]
 
         def keys(kind: str) -> tuple[str, ...]:
             return tuple(dict.fromkeys(a for _, k, a, _ in self._values if k == kind))
