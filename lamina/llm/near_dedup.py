@@ -20,6 +20,8 @@ HASHES = ROWS * BANDS
 BATCH = 16
 #: The largest filter of ids that is sent to every task.
 BLOOM_BYTES = 32 << 20
+#: The largest table of pairs that is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 @lru_cache(1)
@@ -133,8 +135,8 @@ def _bloom(ids: DataFrame) -> bytes | None:
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, items) of the wanted documents.  A Bloom filter, where it is small enough to send out,
-    keeps the other texts from being shuffled to learn that they are not wanted."""
+    """(id, items) of the wanted documents and a few more.  A Bloom filter, where it is small enough to
+    send out, keeps the other texts from being shuffled to learn that they are not wanted."""
     bloom = _bloom(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +153,8 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     live = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     if bloom is None:
-        return live.join(ids, live["doc_id"] == ids["want"], "left_semi").mapInArrow(run, "id bigint, items binary")
-    sets = live.mapInArrow(run, "id bigint, items binary")
-    return sets.join(ids, sets["id"] == ids["want"], "left_semi")
+        live = live.join(ids.select(F.col("id").alias("want")).distinct(), F.col("doc_id") == F.col("want"), "left_semi").select("doc_id", "text")
+    return live.mapInArrow(run, "id bigint, items binary")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -162,10 +163,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     Each first member streams past once, followed by its partners, so a hot document costs one copy
     of its own set and one of each partner's, and no task holds more than two sets.
     """
-    want = pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct()
-    sets = settled(_shingle_sets(docs, want), "sets")
-    heads = pairs.select("a").distinct().join(sets, F.col("a") == F.col("id")).select("a", F.lit(None).cast("bigint").alias("b"), "items")
-    tails = pairs.join(sets, F.col("b") == F.col("id")).select("a", "b", "items")
+    routes = pairs.select(F.col("b").alias("id"), "a", "b").unionByName(pairs.select(F.col("a").alias("id"), "a", F.lit(None).cast("bigint").alias("b")).distinct())
+    routes = settled(routes, "routes")
+    sets = _shingle_sets(docs, routes.select("id"))
+    # sent out while 24 bytes a row stay below the bound; beyond it both sides are shuffled by id
+    small = routes.count() * 24 <= BROADCAST_BYTES
+    routed = sets.join(F.broadcast(routes) if small else routes, "id").select("a", "b", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, heads = None, []
@@ -186,7 +189,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
             cols = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "jaccard"])
 
-    rows = heads.unionByName(tails).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    rows = routed.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
     return rows.mapInArrow(run, "a bigint, b bigint, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
