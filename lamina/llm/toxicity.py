@@ -200,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.6, id_c
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for b in batches:
             col, scores, found = texts_of(b), [], []
-            for lo, hi in slices(col):
+            for lo, hi in slices(col, 1 << 20):
                 s, p, starts, first, raw, off = score(col.slice(lo, hi - lo), model, table)
                 scores.append(s)
                 found += locate(s, p, starts, first, raw, off, threshold)
@@ -238,7 +238,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.6, id
         table = _table(model)
         for b in batches:
             col = b.column(b.num_columns - 1)
-            keep = [score(col.slice(lo, hi - lo), model, table)[0] < threshold for lo, hi in slices(col)]
+            keep = [score(col.slice(lo, hi - lo), model, table)[0] < threshold for lo, hi in slices(col, 1 << 20)]
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep))).select(range(b.num_columns - 1))
 
