@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.shared import as_frame, prepare, settled, texts_of
+from lamina.llm.shared import as_frame, prepare, settled, slices, texts_of
 from lamina.llm.text import mix, word_hashes
 
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 
 
 def suffix_array(ids: np.ndarray) -> np.ndarray:
@@ -23,15 +23,16 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
     """
     n = len(ids)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     # two words in one key start the doubling at length 2
-    nxt = np.append(ids[1:] + 1, 0).astype(np.int64)
-    key = ids.astype(np.int64) * (int(ids.max()) + 2) + nxt
-    sa = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
-    rank = np.empty(n, np.int64)
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[sa] = start
+    key = ids.astype(np.int64) * (int(ids.max()) + 2)
+    key[:-1] += ids[1:] + 1
+    sa = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[sa]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    del key
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     size = 2
     # places in sa whose rank another suffix shares
     tied = np.flatnonzero(~(new & np.append(new[1:], True)))
@@ -59,8 +60,9 @@ class Shard:
         # 0 ends each document: no context crosses it
         n = np.diff(off)
         at = np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)
-        flat = np.zeros(len(hashes) + len(n), np.int64)
+        flat = np.zeros(len(hashes) + len(n), np.int32)
         flat[at] = ids + 1
+        del at, ids
         self.text = flat[::-1].copy()
         self.sa = suffix_array(self.text)
         self.tokens = len(hashes)
@@ -142,21 +144,23 @@ def _block(corpus: DataFrame, block: list, smoothing: float, shard_bytes: int, i
         hashes, sizes, held = [], [], 0
 
         def search():
-            all_, n = np.concatenate(hashes), np.concatenate(sizes)
-            shard = Shard(all_, np.concatenate([[0], np.cumsum(n)]))
+            shard = Shard(np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+            hashes.clear()
+            sizes.clear()
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([shard.tokens], pa.int64())], ["pos", "k", "count"])
             for k, pos, count in shard.counts(h, begin):
                 yield pa.RecordBatch.from_arrays([pa.array(pos.astype(np.int32)), pa.array(np.full(len(pos), k), pa.int32()), pa.array(count)], ["pos", "k", "count"])
 
         for b in batches:
             col = texts_of(b)
-            x, o = word_hashes(col)
-            hashes.append(x)
-            sizes.append(np.diff(o))
-            held += len(x) * 6
+            for lo, hi in slices(col):
+                x, o = word_hashes(col.slice(lo, hi - lo))
+                hashes.append(x)
+                sizes.append(np.diff(o))
+                held += len(x) * 6
             if held >= shard_bytes:
                 yield from search()
-                hashes, sizes, held = [], [], 0
+                held = 0
         if hashes:
             yield from search()
 
