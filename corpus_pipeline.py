@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm.exact_dedup import drop_exact_duplicates
-from lamina.llm.mixing import mix_rows
+from lamina.llm.mixing import KEEP, mix_rows
 from lamina.llm.near_dedup import drop_near_duplicates
 from lamina.llm.shared import new_path
 from lamina.llm.toxicity import drop_toxic
@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_rows(docs)
+    return mix_rows(docs, keep=KEEP)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from lamina.llm.shared import as_frame, prepare, settled, slices, take_rows, tex
 from lamina.llm.text import VOCAB, encode_chunks
 
 SEED = 20
+#: Of all tokens, the share that the registered mixture asks for, with equal target weights.
+KEEP = 0.7
 
 
 def token_lengths(docs: DataFrame, *, vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -92,11 +94,27 @@ def fit_counts(length: np.ndarray, count: np.ndarray, budget: int, seed: int = S
     return out
 
 
-def plan_mix(lengths: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, seed: int = SEED) -> DataFrame:
+def quotas(rows: Mapping[str | None, int], share: Mapping[str | None, float], total: float) -> dict[str | None, int]:
+    """Tokens to take from each source: a source that falls short of its share of ``total`` gives all
+    it has, and what it leaves open is shared out again among the others by their weights."""
+    out, left = dict.fromkeys(share, 0), float(total)
+    live = {s for s, w in share.items() if w > 0 and rows[s] > 0}
+    while live:
+        unit = left / sum(share[s] for s in live)
+        short = {s for s in live if rows[s] <= unit * share[s]}
+        out |= {s: rows[s] for s in short} if short else {s: min(rows[s], int(unit * share[s] * (1 + 1e-12) + 1e-6)) for s in live}
+        if not short:
+            break
+        left, live = left - sum(rows[s] for s in short), live - short
+    return out
+
+
+def plan_mix(lengths: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, seed: int = SEED, keep: float | None = None) -> DataFrame:
     """(source, n_tokens, take): the histogram of lengths with the number to take from each.
 
     ``weights`` maps a source to its share (None: equal shares; sources left out get none).
-    ``total_tokens`` None: the most that meets every share without repeating a document.
+    ``total_tokens`` or ``keep``, a share of all tokens there are, is what ``quotas`` shares out.
+    Both None: the most that meets every share without repeating a document.
     """
     hist = lengths.groupBy("source", "n_tokens").agg(F.count("*").alias("count"))
     totals = hist.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("count")).alias("tokens"))
@@ -106,8 +124,9 @@ def plan_mix(lengths: DataFrame, weights: Mapping[str, float] | None = None, tot
     whole = sum(w for s, w in share.items() if rows[s] > 0) or 1.0
     share = {s: w / whole for s, w in share.items()}
     feasible = min((rows[s] / w for s, w in share.items() if w > 0 and rows[s] > 0), default=0)
-    budget = feasible if total_tokens is None else total_tokens
-    quota = {s: min(rows[s], int(budget * w * (1 + 1e-12) + 1e-6)) for s, w in share.items()}
+    if total_tokens is None and keep is not None:
+        total_tokens = round(keep * sum(rows.values()))
+    quota = quotas(rows, share, feasible if total_tokens is None else total_tokens)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         s = frame["source"].iloc[0]
@@ -122,9 +141,9 @@ def plan_mix(lengths: DataFrame, weights: Mapping[str, float] | None = None, tot
     return hist.groupBy("source").applyInPandas(fit, "source string, n_tokens bigint, take bigint")
 
 
-def _chosen(docs: DataFrame, weights, total_tokens, seed: int, **cols) -> DataFrame:
+def _chosen(docs: DataFrame, weights, total_tokens, seed: int, keep: float | None, **cols) -> DataFrame:
     lengths = settled(token_lengths(docs, **cols), "lengths")
-    plan = plan_mix(lengths, weights, total_tokens, seed)
+    plan = plan_mix(lengths, weights, total_tokens, seed, keep)
     w = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash")), F.col("doc_id"), F.col("text_hash"))
     ranked = lengths.withColumn("nth", F.row_number().over(w))
     p = plan.select(F.col("source").alias("p_source"), F.col("n_tokens").alias("p_tokens"), "take")
@@ -132,7 +151,7 @@ def _chosen(docs: DataFrame, weights, total_tokens, seed: int, **cols) -> DataFr
     return ranked.join(p, on).withColumn("kept", F.col("nth") <= F.col("take")).select("doc_id", "source", "n_tokens", "text_hash", "kept")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, *, seed: int = SEED, vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, *, keep: float | None = None, seed: int = SEED, vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, n_tokens) of the documents that the mixture takes.
 
     Token lengths are exact for every document.  Of the documents of one source and length, those
@@ -140,12 +159,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total_token
     has length 0; a null source is a source of its own; equal rows count apart; a source of no
     tokens takes no part in the shares and its zero-length documents cost nothing.
     """
-    got = _chosen(docs, weights, total_tokens, seed, vocab=vocab, id_col=id_col, text_col=text_col, source_col=source_col)
+    got = _chosen(docs, weights, total_tokens, seed, keep, vocab=vocab, id_col=id_col, text_col=text_col, source_col=source_col)
     return got.filter("kept").select("doc_id", "source", "n_tokens")
 
 
-def mix_rows(docs: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, *, seed: int = SEED, vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_rows(docs: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, *, keep: float | None = None, seed: int = SEED, vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows that ``mix`` takes, with all their columns; rows alike in id and text stand for each other."""
-    got = _chosen(docs, weights, total_tokens, seed, vocab=vocab, id_col=id_col, text_col=text_col, source_col=source_col)
+    got = _chosen(docs, weights, total_tokens, seed, keep, vocab=vocab, id_col=id_col, text_col=text_col, source_col=source_col)
     keys = got.groupBy("doc_id", "text_hash").agg(F.sum(F.col("kept").cast("bigint")).alias("take"), F.count("*").alias("rows"))
     return take_rows(docs, keys, id_col, text_col)

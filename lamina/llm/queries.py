@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lamina.llm.exact_dedup import exact_duplicates
 from lamina.llm.fingerprints import fingerprints
 from lamina.llm.licenses import license_scan
-from lamina.llm.mixing import mix
+from lamina.llm.mixing import KEEP, mix
 from lamina.llm.near_dedup import near_groups
 from lamina.llm.ngram_lm import lm_scores
 from lamina.llm.token_counts import token_counts
@@ -24,7 +24,7 @@ QUERIES = {
     "op1_token_counts": lambda s, d: token_counts(_table(s, d, "documents")),
     "op2_token_shards": lambda s, d: token_shards(_table(s, d, "documents")),
     "op3_bpe": lambda s, d: bpe_encode(_table(s, d, "documents")),
-    "op4_mix": lambda s, d: mix(_table(s, d, "documents")),
+    "op4_mix": lambda s, d: mix(_table(s, d, "documents"), keep=KEEP),
     "op5_licenses": lambda s, d: license_scan(_table(s, d, "documents")),
     "op6_exact_duplicates": lambda s, d: exact_duplicates(_table(s, d, "documents")),
     "op7_lm_scores": lambda s, d: lm_scores(_table(s, d, "documents"), _table(s, d, "benchmark")),
