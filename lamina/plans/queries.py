@@ -81,6 +81,12 @@ def series_owned_whole(spark, sf):
     return rows.groupBy("name", "scenario").agg(F.count("*").alias("row_count"), F.count("snapshot").alias("labels"))
 
 
+@query(f"{resolved_sql(1)} SELECT name, scenario, count(*) AS row_count, count(snapshot) AS labels FROM resolved GROUP BY ALL")
+def series_owned_whole_all(spark, sf):
+    """``series_owned_whole`` of every name."""
+    return _demand(spark, sf, 1).groupBy("name", "scenario").agg(F.count("*").alias("row_count"), F.count("snapshot").alias("labels"))
+
+
 @query("""
 SELECT 'P' || p_partkey AS name, scenario, bp AS breakpoint, p_retailprice * CASE WHEN p_partkey % 7 = 0 THEN g ELSE f END AS value
 FROM part, (VALUES ('base'), ('high'), ('low')) s(scenario),
@@ -113,6 +119,12 @@ def scoped_tombstone(spark, sf):
     return rows.groupBy("name").agg(F.countDistinct("scenario").alias("scenarios"))
 
 
+@query(f"{resolved_sql(2)} SELECT name, count(DISTINCT scenario) AS scenarios FROM resolved GROUP BY ALL")
+def scoped_tombstone_all(spark, sf):
+    """``scoped_tombstone`` of every name."""
+    return _demand(spark, sf, 2).groupBy("name").agg(F.countDistinct("scenario").alias("scenarios"))
+
+
 @query(f"WITH {SQL} SELECT name, bus, scenario, role FROM ends, scen WHERE NOT (name = 'L0_1' AND role = 'output')")
 def connection_tombstone(spark, sf):
     return stack(spark, sf, 4).entities("connections", "Link").select("name", "bus", "scenario", "role")
@@ -421,3 +433,11 @@ def add_members(spark, sf):
     w = _working(spark, sf)
     w.add("Customer", [{"name": "C-a", "segment": "NEW", "demand": 7}])
     return w.attributes["demand"].filter("name = 'C-a'").select("name", "scenario", "value")
+
+
+@query(f"WITH {SQL} SELECT name, scenario, snapshot, value FROM demand_rows WHERE depth = 0 UNION ALL SELECT 'C-a', scenario, NULL, CAST(7 AS BIGINT) FROM scen")
+def add_members_all(spark, sf):
+    """``add_members`` with the members that were there."""
+    w = _working(spark, sf)
+    w.add("Customer", [{"name": "C-a", "segment": "NEW", "demand": 7}])
+    return w.attributes["demand"].select(*DEMAND)
