@@ -311,6 +311,46 @@ def flatten_directory(spark, sf):
     return a.unionByName(d.components["Customer"].agg(F.lit("members").alias("attribute"), F.count("*").alias("row_count"), F.lit(0).cast("bigint").alias("total")))
 
 
+@query(f"""{resolved_sql(4)},
+back AS (SELECT 'C' || c_custkey AS name, c_mktsegment AS segment, c_acctbal AS acctbal, scenario FROM customer, scen
+  WHERE c_custkey % 194 = 0 OR NOT EXISTS (SELECT 1 FROM dead_rows d WHERE d.name = 'C' || c_custkey AND d.scenario = scen.scenario)
+  UNION ALL SELECT 'C-new', 'NEW', 0.0, scenario FROM scen),
+rows AS (
+  SELECT 'input' AS kind, 'demand' AS item, name, NULL AS bus, NULL AS role, scenario, snapshot, NULL AS breakpoint, CAST(value AS DOUBLE) AS number, NULL AS label FROM resolved
+  UNION ALL SELECT 'input', 'price', 'P' || p_partkey, NULL, NULL, scenario, NULL, bp, p_retailprice * CASE WHEN p_partkey % 7 = 0 THEN g ELSE f END, NULL
+  FROM part, scen, (VALUES (CAST(0 AS DOUBLE), CAST(1.0 AS DOUBLE), CAST(1.0 AS DOUBLE)), (10, 0.9, 0.5), (50, 0.8, 0.25)) v(bp, f, g)
+  UNION ALL SELECT 'input', 'efficiency', name, bus, NULL, scenario, NULL, NULL, n, NULL FROM ends, scen WHERE NOT (name = 'L0_1' AND role = 'output')
+  UNION ALL SELECT 'component', 'Customer', name, NULL, NULL, scenario, NULL, NULL, acctbal, segment FROM back
+  UNION ALL SELECT 'component', 'Part', 'P' || p_partkey, NULL, NULL, scenario, NULL, NULL, p_size, p_brand FROM part, scen
+  UNION ALL SELECT 'component', 'Bus', 'N' || n_nationkey, NULL, NULL, scenario, NULL, NULL, n_regionkey, NULL FROM nation, scen
+  UNION ALL SELECT 'component', 'Link', 'L' || s || '_' || c, NULL, NULL, scenario, NULL, NULL, NULL, NULL FROM pairs, scen
+  UNION ALL SELECT 'connection', 'Customer', 'C' || c_custkey, 'N' || c_nationkey, 'attached', scenario, NULL, NULL, NULL, NULL FROM customer, scen
+  WHERE NOT EXISTS (SELECT 1 FROM dead_rows d WHERE d.name = 'C' || c_custkey AND d.scenario = scen.scenario)
+  UNION ALL SELECT 'connection', 'Link', name, bus, role, scenario, NULL, NULL, NULL, NULL FROM ends, scen WHERE NOT (name = 'L0_1' AND role = 'output'))
+SELECT * FROM rows""")
+def flatten_directory_whole(spark, sf):
+    """The unreduced stack committed to a directory; every reread row of every attribute, component and connection type."""
+    from lamina.operators.edit import Directory
+    from lamina.sources.store import Store
+
+    root = shared_root(spark)
+    d = WorkingRecord(LayeredRecord(stack(spark, sf, 4)), Store(spark, root)).commit(Directory(f"{root}/flat"))
+    kinds = {"name": "string", "bus": "string", "role": "string", "scenario": "string", "snapshot": "timestamp_ntz", "breakpoint": "double", "number": "double", "label": "string"}
+    labels = {"Customer": ("acctbal", "segment"), "Part": ("size", "brand"), "Bus": ("region", None)}
+
+    def rows(kind: str, item: str, df: DataFrame, number: str | None = None, label: str | None = None) -> DataFrame:
+        own = {c: c for c in df.columns if c not in ("number", "label")} | {k: c for k, c in (("number", number), ("label", label)) if c}
+        return df.select(F.lit(kind).alias("kind"), F.lit(item).alias("item"), *[(q(own[c]) if c in own else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+    got = [rows("input", a, d.attributes[a], "value") for a in d.attributes]
+    got += [rows("component", t, d.components[t], *labels.get(t, ())) for t in d.components]
+    got += [rows("connection", t, d.connections[t]) for t in d.connections]
+    out = got[0]
+    for g in got[1:]:
+        out = out.unionByName(g)
+    return out
+
+
 def shared_root(spark) -> str:
     """A new folder in what the cluster shares."""
     import tempfile
