@@ -158,6 +158,50 @@ TEXTS: list[tuple[str, str, int, str, str]] = [
     ("copyright", "mark", MARK - 5, "©", r"© ?(?:19|20)\d\d"),
 ]
 
+#: Usual titles and abbreviations that follow no pattern of NAMES, written one by one.
+TITLES: list[tuple[str, str, str]] = [
+    ("BSD-1-Clause", r"bsd[ -](?:1|one)[ -]clause(?: licen[sc]e)?", "bsd"),
+    ("BSD-2-Clause", r"bsd[ -](?:2|two)[ -]clause(?: [\"“']?(?:simplified|freebsd)[\"”']?)?(?: licen[sc]e)?", "bsd"),
+    ("BSD-3-Clause", r"bsd[ -](?:3|three)[ -]clause(?: [\"“']?(?:new|revised|modified)(?:[\"”']? or [\"“']?(?:new|revised|modified))?[\"”']?)?(?: licen[sc]e)?", "bsd"),
+    ("BSD-4-Clause", r"bsd[ -](?:4|four)[ -]clause(?: [\"“']?(?:original|old)(?:[\"”']? or [\"“']?(?:original|old))?[\"”']?)?(?: licen[sc]e)?", "bsd"),
+    ("GPL-1.0", r"(?:gnu )?gpl(?: version |[ -]?v\.? ?|[ -])1(?:\.0)?", "gpl"),
+    ("GPL-2.0", r"(?:gnu )?gpl(?: version |[ -]?v\.? ?|[ -])2(?:\.0)?", "gpl"),
+    ("GPL-3.0", r"(?:gnu )?gpl(?: version |[ -]?v\.? ?|[ -])3(?:\.0)?", "gpl"),
+    ("GPL-2.0-or-later", r"(?:gnu )?gpl(?: version |[ -]?v\.? ?|[ -])2(?:\.0)?(?:\+|,? or (?:any )?(?:later|newer))", "gpl"),
+    ("GPL-3.0-or-later", r"(?:gnu )?gpl(?: version |[ -]?v\.? ?|[ -])3(?:\.0)?(?:\+|,? or (?:any )?(?:later|newer))", "gpl"),
+    ("GPL-2.0", r"gnu general public licen[sc]e \(gpl\),? (?:version |v\.? ?)2(?:\.0)?", "general public"),
+    ("GPL-3.0", r"gnu general public licen[sc]e \(gpl\),? (?:version |v\.? ?)3(?:\.0)?", "general public"),
+    ("LGPL-2.0", r"(?:gnu )?lgpl(?: version |[ -]?v\.? ?|[ -])2(?:\.0)?", "lgpl"),
+    ("LGPL-2.1", r"(?:gnu )?lgpl(?: version |[ -]?v\.? ?|[ -])2\.1", "lgpl"),
+    ("LGPL-3.0", r"(?:gnu )?lgpl(?: version |[ -]?v\.? ?|[ -])3(?:\.0)?", "lgpl"),
+    ("LGPL-2.1-or-later", r"(?:gnu )?lgpl(?: version |[ -]?v\.? ?|[ -])2\.1(?:\+|,? or (?:any )?(?:later|newer))", "lgpl"),
+    ("LGPL-3.0-or-later", r"(?:gnu )?lgpl(?: version |[ -]?v\.? ?|[ -])3(?:\.0)?(?:\+|,? or (?:any )?(?:later|newer))", "lgpl"),
+    ("AGPL-3.0", r"(?:gnu )?agpl(?: version |[ -]?v\.? ?|[ -])3(?:\.0)?", "agpl"),
+    ("AGPL-3.0-or-later", r"(?:gnu )?agpl(?: version |[ -]?v\.? ?|[ -])3(?:\.0)?(?:\+|,? or (?:any )?(?:later|newer))", "agpl"),
+    ("Apache-2.0", r"apache[ -]v?2(?:\.0)?(?: licen[sc]e)?", "apache"),
+    ("Apache-2.0", r"asl[ -]?(?:v\.? ?)?2(?:\.0)?", "asl"),
+    ("MPL-1.1", r"mpl[ -]?(?:v\.? ?)?1\.1", "mpl"),
+    ("MPL-2.0", r"mpl[ -]?(?:v\.? ?)?2(?:\.0)?", "mpl"),
+    ("EPL-1.0", r"epl[ -]?(?:v\.? ?)?1(?:\.0)?", "epl"),
+    ("EPL-2.0", r"epl[ -]?(?:v\.? ?)?2(?:\.0)?", "epl"),
+    ("EUPL-1.2", r"eupl[ -]?(?:v\.? ?)?1\.2", "eupl"),
+    ("CDDL-1.0", r"cddl[ -]?(?:v\.? ?)?1\.0", "cddl"),
+    ("CDDL-1.1", r"cddl[ -]?(?:v\.? ?)?1\.1", "cddl"),
+]
+
+#: Families without a version, below all that names one.
+FAMILIES: list[tuple[str, str, str]] = [
+    ("GPL", r"gnu gpl", "gpl"),
+    ("LGPL", r"gnu lgpl", "lgpl"),
+    ("AGPL", r"gnu agpl", "agpl"),
+    ("GPL", r"(?:released|licen[sc]ed|distributed|available) under (?:the )?(?:terms of )?(?:the )?gpl", "gpl"),
+    ("LGPL", r"(?:released|licen[sc]ed|distributed|available) under (?:the )?(?:terms of )?(?:the )?lgpl", "lgpl"),
+    ("AGPL", r"(?:released|licen[sc]ed|distributed|available) under (?:the )?(?:terms of )?(?:the )?agpl", "agpl"),
+]
+
+#: What may follow WITH in an SPDX expression.
+EXCEPTIONS = ["Classpath-exception-2.0", "GCC-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Autoconf-exception-2.0", "Autoconf-exception-3.0", "Bison-exception-2.2", "Font-exception-2.0", "Linux-syscall-note", "Libtool-exception", "Bootloader-exception"]
+
 
 def rules() -> list[tuple[str, str, int, tuple[str, ...], str]]:
     """All rules in order; a rule's place breaks ties of priority."""
@@ -172,4 +216,19 @@ def rules() -> list[tuple[str, str, int, tuple[str, ...], str]]:
     out += [(a, b, c, tuple(d.split("|")), e) for a, b, c, d, e in TEXTS]
     for name, pattern, word in NAMES:
         out.append((name, "name", NAME, tuple(word.split("|")), rf"(?<!\w)(?:{pattern})(?!\w)"))
+    for name, pattern, word in TITLES:
+        out.append((name, "name", NAME, (word,), rf"(?<![\w.-])(?:{pattern})(?![\w+]|[.-]\w)"))
+    for name, pattern, word in FAMILIES:
+        out.append((name, "name", NAME - 5, (word,), rf"(?<!\w)(?:{pattern})(?![\w+]|-\w)"))
+    # bare identifiers; those that are words of their own, such as MIT or Ruby, say too little
+    for name, _, _ in NAMES:
+        if "-" in name or name == "0BSD":
+            low = name.lower()
+            esc = low.replace(".", r"\.")
+            out.append((name, "name", NAME, (low,), rf"(?<![\w.-]){esc}(?:-only)?(?![\w+-]|\.\w)"))
+            out.append((name + "-or-later", "name", NAME, (low,), rf"(?<![\w.-]){esc}(?:-or-later|\+)(?![\w+-]|\.\w)"))
+    for name in EXCEPTIONS:
+        low = name.lower()
+        esc = low.replace(".", r"\.")
+        out.append((name, "exception", TAG, (low,), rf"with {esc}(?![\w-]|\.\w)"))
     return out

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from lamina.llm.license_rules import rules
 from lamina.llm.shared import as_frame, cached, prepare, texts_of
 
+ID = re.compile(r"[\w+-]+(?:\.[\w+-]+)*")
+#: (, ids joined by OR, AND and WITH, )
+EXPRESSION = re.compile(rf"spdx-license-identifier:[ \t]*([( \t]*{ID.pattern}(?:[) \t]*[ \t)](?:or|and|with)[ \t(][( \t]*{ID.pattern})*)", re.IGNORECASE)
+
 
 class Scanner:
     """Rules gated by their keywords, found together by one automaton."""
@@ -21,6 +25,13 @@ class Scanner:
 
         self.rules = rules() if table is None else table
         self.patterns = [re.compile(p.replace(" ", r"\s+").replace(r"\s+?", r"\s*"), re.IGNORECASE) for *_, p in self.rules]
+        # ids of SPDX expressions, by the rules of the tag
+        self.ids: dict[str, int] = {}
+        for n, (name, kind, *_) in enumerate(self.rules):
+            if kind == "tag":
+                low = name.lower()
+                for x in (low, low.removesuffix("-or-later") + "+" if low.endswith("-or-later") else low + "-only"):
+                    self.ids.setdefault(x, n)
         by_word: dict[str, list[int]] = {}
         for n, (_, _, _, words, _) in enumerate(self.rules):
             for w in words:
@@ -45,7 +56,11 @@ class Scanner:
     def scan(self, text: str, gate: bool = True) -> list[tuple[int, int, int]]:
         """(begin, end, rule) of the detections that stand, by place."""
         found = [(m.start(), m.end(), n) for n in (self.gated(text) if gate else range(len(self.rules))) for m in self.patterns[n].finditer(text)]
-        return self.resolve(found)
+        return self.resolve(found + self.expressions(text))
+
+    def expressions(self, text: str) -> list[tuple[int, int, int]]:
+        """Every known id of each SPDX expression, at its own place: those after the first or in brackets too."""
+        return [(t.start(), t.end(), self.ids[t[0].lower()]) for m in EXPRESSION.finditer(text) for t in ID.finditer(text, m.start(1), m.end(1)) if t[0].lower() in self.ids]
 
     def resolve(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Highest priority first, then the longer, then the earlier rule; a detection stands unless a

@@ -3,12 +3,19 @@
 import collections
 import random
 
+import pytest
+
 import corpus_pipeline
-from lamina.llm import mixing
+from lamina.llm import licenses, mixing
 from lamina.llm.queries import QUERIES
 from tests.llm.test_operators import encode, sentence
 
 
+@pytest.fixture(scope="module")
+def scanner():
+    return licenses.Scanner()
+
+
 def test_a_tiny_source_does_not_shrink_the_mixture(spark, tmp_path):
     rng = random.Random(11)
     rows = [(k, sentence(rng, rng.randint(5, 40)), s) for k, s in enumerate(["hot"] * 300 + ["a"] * 60 + ["b"] * 60)] + [(900, "alpha beta", "tiny"), (901, "", "tiny"), (902, "gamma", None)]
@@ -31,3 +38,28 @@ def test_quotas_share_out_what_short_sources_leave():
     assert mixing.quotas({"a": 10, "b": 100, "c": 1000}, {"a": 1, "b": 1, "c": 2}, 600) == {"a": 10, "b": 100, "c": 490}
     assert mixing.quotas({"a": 10, "b": 0}, {"a": 1, "b": 1}, 50) == {"a": 10, "b": 0}
     assert mixing.quotas({"a": 100, "b": 100}, {"a": 1, "b": 0}, 60) == {"a": 60, "b": 0}
+
+
+#: What a line is detected as, and a line much like it that holds no such license.
+LINES = [
+    ("BSD 3-Clause License", "BSD-3-Clause", "BSD 3-clauses"), ("BSD 2-Clause License", "BSD-2-Clause", "BSD 22-Clause License"), ('BSD 3-Clause "New" or "Revised" License', "BSD-3-Clause", "a 3 clause sentence"),
+    ("under GPLv3.", "GPL-3.0", "GPLv31"), ("GPL v2 here", "GPL-2.0", "GPL vx2"), ("the GNU GPL, of course", "GPL", "GNU GPLX"), ("GNU LGPL", "LGPL", "GNU LGPLs"), ("LGPLv2.1", "LGPL-2.1", "LGPLv2.15"), ("AGPLv3", "AGPL-3.0", "AGPLv35"),
+    ("GPLv3+", "GPL-3.0-or-later", "GPLv3 and later work"), ("GPL v2 or later", "GPL-2.0-or-later", "GPL v2 or never"), ("LGPLv2.1+", "LGPL-2.1-or-later", "LGPLv2.1"), ("AGPL-3.0-or-later", "AGPL-3.0-or-later", "AGPL-3.0"),
+    ("license: Apache-2.0", "Apache-2.0", "license: Apache-2.0.1"), ("Apache 2.0", "Apache-2.0", "Apache 2.4"), ("GPL-3.0", "GPL-3.0", "XGPL-3.0"), ("GPL-2.0-only", "GPL-2.0", "GPL-2.0-or-later"), ("CC-BY-4.0", "CC-BY-4.0", "CC-BY-4.01"),
+    ("MPL 2.0", "MPL-2.0", "MPL 2.5"), ("EPL-2.0", "EPL-2.0", "EPL-2.05"), ("released under the GPL", "GPL", "released under the GPLX"), ("ASL 2.0", "Apache-2.0", "ASL 20"), ("EUPL 1.2", "EUPL-1.2", "EUPL 1.25"), ("CDDL 1.0", "CDDL-1.0", "CDDL 1.05"),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "Classpath-exception-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+]
+
+
+@pytest.mark.parametrize("line, name, not_so", LINES)
+def test_usual_forms_of_licenses(scanner, line, name, not_so):
+    found = lambda t: [scanner.rules[n][0] for *_, n in scanner.scan(t)]
+    assert name in found(line) and name not in found(not_so)
+
+
+@pytest.mark.parametrize("line, names", [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND ISC", ["MIT", "Apache-2.0", "ISC"]),
+    ("SPDX-License-Identifier: GPL-2.0+ OR (MIT AND BSD-3-Clause) and more", ["GPL-2.0-or-later", "MIT", "BSD-3-Clause"]), ("SPDX-License-Identifier: MIT\nOR ISC", ["MIT"]),
+])
+def test_every_id_of_an_spdx_expression(scanner, line, names):
+    assert [scanner.rules[n][0] for *_, n in scanner.scan(line)] == names
