@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,19 +64,23 @@ class Scanner:
         return [(t.start(), t.end(), self.ids[t[0].lower()]) for m in EXPRESSION.finditer(text) for t in ID.finditer(text, m.start(1), m.end(1)) if t[0].lower() in self.ids]
 
     def resolve(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Highest priority first, then the longer, then the earlier rule; a detection stands unless a
-        standing one overlaps it: contained ones are parts of it, others lose to its priority."""
+        """Highest priority first, then the longer, then the earlier rule; a detection falls if a
+        standing one contains it, as it is a part of that; those that overlap in part all stand."""
         order = sorted(set(found), key=lambda d: (-self.rules[d[2]][2], d[0] - d[1], d[2], d[0]))
-        from bisect import bisect_left, insort
-
         stand: list[tuple[int, int, int]] = []
+        # standing intervals that no other contains: both ends rise
+        begins: list[int] = []
+        ends: list[int] = []
         for d in order:
-            at = bisect_left(stand, (d[1],))
-            # standing detections never overlap, so only the nearest one before the end can
-            if at and stand[at - 1][1] > d[0]:
+            lo, hi, _ = d
+            at = bisect_right(begins, lo)
+            if at and ends[at - 1] >= hi:
                 continue
-            insort(stand, d)
-        return stand
+            stand.append(d)
+            first, last = bisect_left(begins, lo), bisect_right(ends, hi)
+            begins[first : max(first, last)] = [lo]
+            ends[first : max(first, last)] = [hi]
+        return sorted(stand)
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,3 +63,17 @@ def test_usual_forms_of_licenses(scanner, line, name, not_so):
 ])
 def test_every_id_of_an_spdx_expression(scanner, line, names):
     assert [scanner.rules[n][0] for *_, n in scanner.scan(line)] == names
+
+
+def test_only_contained_detections_fall(scanner):
+    for mark, version, own in ((";", "3", "GPL-2.0"), (":", "2", "GPL-3.0")):
+        head = f"This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU General Public License version {version} as published by the Free Software Foundation."
+        assert [scanner.rules[n][0] for *_, n in scanner.scan(head)] == [own, f"GPL-{version}.0"]
+    rng = random.Random(3)
+    for _ in range(200):
+        found = [(a := rng.randrange(30), a + rng.randint(1, 12), rng.randrange(len(scanner.rules))) for _ in range(12)]
+        stand = []
+        for d in sorted(set(found), key=lambda d: (-scanner.rules[d[2]][2], d[0] - d[1], d[2], d[0])):
+            if not any(a <= d[0] and d[1] <= b for a, b, _ in stand):
+                stand.append(d)
+        assert scanner.resolve(found) == sorted(stand)
