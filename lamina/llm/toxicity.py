@@ -211,7 +211,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.6, id_c
 
 
 def locate(s, p, starts, first, raw, off, threshold: float) -> list:
-    """Offending sentences of each document as character ranges; the top one if none stands alone."""
+    """Offending sentences of each document as character ranges, in falling score: as many as it takes
+    for the noisy-or of all others to fall below the threshold."""
     out: list = [[] for _ in s]
     bad = np.flatnonzero(s >= threshold)
     if not len(bad):
@@ -221,8 +222,11 @@ def locate(s, p, starts, first, raw, off, threshold: float) -> list:
     ends = np.append(starts[1:], len(raw))
     for d in bad:
         own = np.arange(first[d], last[d])
-        hit = own[p[own] >= threshold]
-        hit = hit if len(hit) else own[[int(np.argmax(p[own]))]]
+        own = own[np.argsort(-p[own], kind="stable")]
+        none = np.log1p(-np.minimum(p[own], 1 - 1e-12))
+        # what is left over after 1, 2, ... are listed
+        rest = 1 - np.exp(np.append(np.cumsum(none[::-1])[::-1][1:], 0))
+        hit = own[: 1 + int(np.argmax(rest < threshold))]
         zero = chars[off[d]]
         out[d] = [{"begin": int(chars[starts[k]] - zero), "end": int(chars[ends[k]] - zero), "score": float(p[k])} for k in hit]
     return out

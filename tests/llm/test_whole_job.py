@@ -3,10 +3,11 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from lamina.llm import licenses, mixing
+from lamina.llm import licenses, mixing, toxicity
 from lamina.llm.queries import QUERIES
 from tests.llm.test_operators import encode, sentence
 
@@ -77,3 +78,13 @@ def test_only_contained_detections_fall(scanner):
             if not any(a <= d[0] and d[1] <= b for a, b, _ in stand):
                 stand.append(d)
         assert scanner.resolve(found) == sorted(stand)
+
+
+@pytest.mark.parametrize("p, listed", [([0.5] * 5, 4), ([0.5, 0.9, 0.5, 0.5], 3), ([0.1, 0.7, 0.1], 1), ([0.2, 0.3], 0)])
+def test_offenders_are_listed_until_the_rest_is_clean(p, listed):
+    p, n = np.array(p), len(p)
+    s = np.array([1 - np.prod(1 - p)])
+    raw = np.frombuffer(b"a. " * n, np.uint8)
+    (got,) = toxicity.locate(s, p, 3 * np.arange(n), np.array([0]), raw, np.array([0, 3 * n]), 0.6)
+    assert [x["score"] for x in got] == sorted(p.tolist(), reverse=True)[:listed]
+    assert len({x["begin"] for x in got}) == listed
