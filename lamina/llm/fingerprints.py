@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import as_frame, prepare, slices, texts_of
+from lamina.llm.shared import as_frame, prepare, settled, slices, texts_of
 from lamina.llm.text import shingles, word_hashes
 
 K, SHINGLE = 128, 5
@@ -35,12 +35,12 @@ def bottom_k(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64), np.cumsum(size)
 
 
-def sketches(docs: DataFrame, *, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sketch, shingles): each row's bottom-k sketch and estimated distinct shingles.
+def sketches(docs: DataFrame, *, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, sketch, shingles, *more): each row's bottom-k sketch and estimated distinct shingles.
 
     Shingles are runs of ``shingle`` lower-cased words; a shorter text is one shingle; null, empty
     and white text give an empty sketch and 0.  Fewer than ``k`` hashes mean the sketch is the whole
-    set and the count exact.  Equal rows give equal rows; other columns are ignored.
+    set and the count exact.  Equal rows give equal rows; columns not in ``more`` are ignored.
     """
     prepare(docs.sparkSession)
 
@@ -53,9 +53,9 @@ def sketches(docs: DataFrame, *, k: int = K, shingle: int = SHINGLE, id_col: str
                 last = np.where(n > 0, flat[np.maximum(off[1:] - 1, 0)] if len(flat) else 0, 0).astype(np.float64)
                 est = np.where(n < k, n, np.round((k - 1) * SPACE / np.maximum(last + 1, 1)))
                 arr = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), arr, pa.array(est.astype(np.int64))], ["doc_id", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), arr, pa.array(est.astype(np.int64)), *[b.column(2 + j).slice(lo, hi - lo) for j in range(len(more))]], ["doc_id", "sketch", "shingles", *more])
 
-    return as_frame(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, sketch array<bigint>, shingles bigint")
+    return as_frame(docs, id_col, text_col, *more).mapInArrow(run, "doc_id bigint, sketch array<bigint>, shingles bigint" + "".join(f", `{c}` string" for c in more))
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -119,3 +119,21 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 def fingerprints(docs: DataFrame, *, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``sketches`` of every document; see ``merge_parts``, ``resemblance`` and ``containment``."""
     return sketches(docs, k=k, shingle=shingle, id_col=id_col, text_col=text_col)
+
+
+def source_fingerprints(docs: DataFrame, *, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(level, doc_id, source, sketch, shingles, resemblance, containment): the documents' sketches,
+    with each one's resemblance to and containment in its source, and below them the sources' own.
+
+    Rows of level ``source`` have no id and hold the merged sketch of all documents of the source; a
+    null source is a source.  Both measures are null for documents without shingles.
+    """
+    named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    own = settled(sketches(named, k=k, shingle=shingle, more=("source",)), "sketches")
+    whole = settled(merge_parts(own, "source", k=k), "sources")
+    to = whole.select(F.col("source").alias("to"), F.col("sketch").alias("whole"))
+    a, b = F.col("sketch"), F.col("whole")
+    measures = [F.when(F.size(a) > 0, resemblance(a, b, k)).alias("resemblance"), containment(a, b, k).alias("containment")]
+    each = own.join(to, F.col("source").eqNullSafe(F.col("to")), "left").select(F.lit("document").alias("level"), "doc_id", "source", "sketch", "shingles", *measures)
+    none = F.lit(None).cast("double")
+    return each.unionByName(whole.select(F.lit("source").alias("level"), F.lit(None).cast("bigint").alias("doc_id"), "source", "sketch", "shingles", none.alias("resemblance"), none.alias("containment")))

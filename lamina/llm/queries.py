@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm.exact_dedup import exact_duplicates
-from lamina.llm.fingerprints import fingerprints
+from lamina.llm.fingerprints import source_fingerprints
 from lamina.llm.licenses import license_scan
 from lamina.llm.mixing import KEEP, mix
 from lamina.llm.near_dedup import near_groups
@@ -28,7 +28,7 @@ QUERIES = {
     "op5_licenses": lambda s, d: license_scan(_table(s, d, "documents")),
     "op6_exact_duplicates": lambda s, d: exact_duplicates(_table(s, d, "documents")),
     "op7_lm_scores": lambda s, d: lm_scores(_table(s, d, "documents"), _table(s, d, "benchmark")),
-    "op8_fingerprints": lambda s, d: fingerprints(_table(s, d, "documents")),
+    "op8_fingerprints": lambda s, d: source_fingerprints(_table(s, d, "documents")),
     "op9_toxicity": lambda s, d: toxicity(_table(s, d, "documents"), _table(s, d, "labels")),
     "op10_near_groups": lambda s, d: near_groups(_table(s, d, "documents")),
 }

@@ -88,3 +88,21 @@ def test_offenders_are_listed_until_the_rest_is_clean(p, listed):
     (got,) = toxicity.locate(s, p, 3 * np.arange(n), np.array([0]), raw, np.array([0, 3 * n]), 0.6)
     assert [x["score"] for x in got] == sorted(p.tolist(), reverse=True)[:listed]
     assert len({x["begin"] for x in got}) == listed
+
+
+def test_fingerprints_reach_their_sources(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(k, sentence(rng, rng.randint(0, 30)), rng.choice(["a", "b", None])) for k in range(60)] + [(None, None, "b"), (70, "one two", "alone")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = QUERIES["op8_fingerprints"](spark, f"file://{tmp_path}").collect()
+    each, whole = [r for r in got if r.level == "document"], {r.source: r for r in got if r.level == "source"}
+    assert len(each) == len(rows) and set(whole) == {s for *_, s in rows}
+    for s, w in whole.items():
+        assert w.sketch == sorted({x for r in each if r.source == s for x in r.sketch})[:128]
+    for r in each:
+        both = sorted({*r.sketch, *whole[r.source].sketch})[:128]
+        same = len({*both} & {*r.sketch} & {*whole[r.source].sketch})
+        assert r.resemblance is None if not r.sketch else abs(r.resemblance - same / len(both)) < 1e-9
+        assert (r.containment is None) == (not r.sketch)
+    alone = next(r for r in each if r.doc_id == 70)
+    assert alone.resemblance == alone.containment == 1
