@@ -8,6 +8,7 @@ executor shares, so that losing an executor never loses them.  Only a session th
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ from pyspark.sql.window import Window
 
 #: Bytes of text that a vectorised step holds at once.
 SLICE_BYTES = 4 << 20
+#: Masters whose executors are this process.
+LOCAL = re.compile(r"local(\[.*\])?")
 
 
 def prepare(spark: SparkSession) -> None:
@@ -35,16 +38,20 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; set to a new one only where the session has none."""
+    """The shared folder of this session.  A local session that names none, as in tests, gets a new
+    one; a cluster that names none has no folder that outlives an executor, so that raises."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not LOCAL.fullmatch(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lamina-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lamina/{name}-{uuid.uuid4().hex}"
+    """A new path below this application's folder; ``clean`` removes them all."""
+    return f"{shared_dir(spark).rstrip('/')}/lamina/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +59,24 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lamina_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str | None) -> None:
+    """Delete settled tables, or paths, that nothing reads any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_lamina_path", None)
+        if path:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application.  Frames that the operators returned and
+    that are not yet written read them, so call it last."""
+    discard(spark, f"{shared_dir(spark).rstrip('/')}/lamina/{spark.sparkContext.applicationId}")
 
 
 def cached(key, build):
@@ -102,18 +126,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def take_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def take_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, others: bool = False) -> DataFrame:
     """Rows of ``docs`` by key; ``chosen`` has (doc_id, text_hash, take, rows), one row a key.
 
-    A key is the id with the hash of its text.  ``take`` of the ``rows`` equal rows stay; only keys
-    that lose some of their equal rows pay for a window.
+    A key is the id with the hash of its text.  ``take`` of the ``rows`` equal rows stay, and with
+    ``others`` every row whose key is not in ``chosen``.  Rows are shuffled once; only keys that lose
+    some of their equal rows are numbered, first within each of 64 salts, so that a key with countless
+    equal rows is never numbered in one task.
     """
-    i, h, t, n, r = fresh(docs, "__id", "__hash", "__take", "__rows", "__nth")
+    i, h, t, n, r, s = fresh(docs, "__id", "__hash", "__take", "__rows", "__nth", "__salt")
     keyed = docs.withColumn(i, F.col(f"`{id_col}`").cast("bigint")).withColumn(h, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    keyed = keyed.withColumn(s, F.pmod(F.monotonically_increasing_id(), F.lit(64)))
     keys = chosen.select(F.col("doc_id").alias(i + "2"), F.col("text_hash").alias(h + "2"), F.col("take").alias(t), F.col("rows").alias(n))
     on = F.col(i).eqNullSafe(F.col(i + "2")) & (F.col(h) == F.col(h + "2"))
-    whole = keyed.join(keys.filter(F.col(t) >= F.col(n)), on, "left_semi")
-    part = keyed.join(keys.filter((F.col(t) < F.col(n)) & (F.col(t) > 0)), on, "inner")
-    part = part.withColumn(r, F.row_number().over(Window.partitionBy(i, h).orderBy(i))).filter(F.col(r) <= F.col(t))
+    got = keyed.join(keys, on, "left" if others else "inner")
+    whole = got.filter(F.col(t).isNull() | (F.col(t) >= F.col(n)))
+    part = got.filter((F.col(t) < F.col(n)) & (F.col(t) > 0))
+    for by in ([i, h, s], [i, h]):
+        part = part.withColumn(r, F.row_number().over(Window.partitionBy(*by).orderBy(s))).filter(F.col(r) <= F.col(t)).drop(r)
     back = [F.col(f"`{c}`") for c in docs.columns]
     return whole.select(*back).unionByName(part.select(*back))

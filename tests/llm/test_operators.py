@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import exact_dedup, fingerprints, licenses, mixing, near_dedup, ngram_lm, text, token_counts, token_shards, toxicity, transducer
 
@@ -271,8 +272,6 @@ def test_sketches_and_their_estimates(spark, docs, none, table):
     b = a[:1500] + [f"w{rng.randint(0, 10**9)}" for _ in range(1500)]
     two = fingerprints.sketches(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id bigint, text string"), k=256)
     x, y = two.filter("doc_id = 1").selectExpr("sketch AS sa"), two.filter("doc_id = 2").selectExpr("sketch AS sb")
-    from pyspark.sql import functions as F
-
     r = x.crossJoin(y).select(fingerprints.resemblance(F.col("sa"), F.col("sb"), 256).alias("r"), fingerprints.containment(F.col("sa"), F.col("sb"), 256).alias("c")).first()
     assert abs(r.r - 1 / 3) < 0.1 and abs(r.c - 0.5) < 0.15
     assert all(abs(z.shingles - 2996) < 600 for z in two.collect())
@@ -363,10 +362,23 @@ def test_near_groups_equal_brute_force(spark, none, near, monkeypatch):
     ids = collections.Counter(r.doc_id for r in kept.collect())
     assert ids == collections.Counter([i for i, _ in near if i not in want] + sorted(set(want.values())))
     assert near_dedup.near_groups(none).count() == 0 and near_dedup.drop_near_duplicates(none).count() == 0
-    monkeypatch.setattr(near_dedup, "BLOOM_BYTES", 0)
+    # more blocks than members and a copy of a set for each partner
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "PARTNERS", 1)
+    monkeypatch.setattr(near_dedup, "_nearest_heads", lambda members, *_: members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(near_dedup, "_all_heads", near_dedup._nearest_heads)
     assert dict(pairs(near_dedup.near_groups(df), "doc_id", "group_id")) == want
 
 
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"k{rng.randrange(5000)}" for _ in range(n)) for n in (80, 90, 20_000))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (4, c + " end"), (5, None), (2, b), (6, b.upper())]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert pairs(near_dedup.near_groups(df), "doc_id", "group_id") == [(1, 1), (2, 1), (2, 2), (3, 3), (4, 3), (6, 2)]
+    assert pairs(near_dedup.drop_near_duplicates(df), "doc_id", "text") == sorted([(1, a), (2, b), (3, c), (5, None)], key=repr)
+
+
 def test_matches_needed_follow_the_posterior():
     least = near_dedup.least_matches(0.5, 0.005)
     assert list(least) == sorted(least) and least[-1] < 80
