@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lamina.llm.shared import cached
+from lamina.llm.shared import cached, offsets_of
 
 TOKENIZERS = "/opt/tokenizers"
 VOCAB = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: The published split pattern of this family of byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A single space between two characters that are not white space: no token spans it.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
-_SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: White space next to a space, or at an end: the fast path leaves such texts to the exact one.
-UNSAFE = f"[{_SPACE}] | [{_SPACE}]|^[{_SPACE}]|[{_SPACE}]$"
+#: White space as these vocabularies' encoders know it.
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: ``SPLIT`` with that white space spelt out.
+EXACT = SPLIT.replace(r"[^\s\p{L}", rf"[^{WHITE}\p{{L}}").replace(r"\S", rf"[^{WHITE}]").replace(r"\s", rf"[{WHITE}]")
+#: Where no token crosses: before white space, and after a run of letters or of digits.
+SAFE = rf"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=\p{{L}})(?=\P{{L}})|(?<=\p{{N}})(?=\P{{N}})"
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -40,15 +40,24 @@ def encoding(path: str):
     return cached(("encoding", path), build)
 
 
+def compiled(pattern: str):
+    import regex
+
+    return cached(("regex", pattern), lambda: regex.compile(pattern))
+
+
 def safe_pieces(text: str, limit: int) -> list[str]:
-    """``text`` cut before single spaces once a piece has ``limit`` characters; joins back exactly.
+    """``text`` cut where no token can cross, once a piece has ``limit`` characters; joins back exactly.
 
-    Encoding the pieces one by one gives the ids of the whole, as no pre-token crosses such a cut.
+    A token is white space, or letters, digits or other marks with at most one space before them, so
+    none goes on past the end of a word, of letters or of digits: texts of lines, of base64 or in
+    scripts without spaces are cut too.  Only one unbroken run of letters, digits or marks stays whole,
+    as it is one token candidate.
     """
-    out, start = [], 0
+    out, start, find = [], 0, compiled(SAFE).search
     while len(text) - start > limit:
-        m = SAFE.search(text, start + limit)
-        if not m:
+        m = find(text, start + limit)
+        if not m or m.start() >= len(text):
             break
         out.append(text[start : m.start()])
         start = m.start()
@@ -56,27 +65,43 @@ def safe_pieces(text: str, limit: int) -> list[str]:
     return out
 
 
+def white(raw: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 are part of a white character."""
+    out = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    lead = np.flatnonzero((raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))
+    if len(lead):
+        x, y, z = raw[lead].astype(np.int64), raw[np.minimum(lead + 1, len(raw) - 1)].astype(np.int64), raw[np.minimum(lead + 2, len(raw) - 1)].astype(np.int64)
+        two = (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
+        three = ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+        three |= (x == 0xE2) & (((y == 0x80) & (((z >= 0x80) & (z <= 0x8A)) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+        for k, where in ((0, two | three), (1, two | three), (2, three)):
+            out[lead[where] + k] = True
+    return out
+
+
 def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(chunk number of each chunk, chunk offsets of each text, the distinct chunks).
 
-    A text is cut before each of its single spaces, which no token spans.  Texts with other white
-    space beside a space stay whole, as one chunk.
+    A text is cut wherever white space follows other characters: no token crosses such a place, and
+    what comes after it splits as it would on its own.  So a chunk is a word with the white space
+    before it, whatever that is; an empty text has none.
     """
-    odd = pc.match_substring_regex(texts, UNSAFE)
-    lists = pc.split_pattern(pc.if_else(odd, pa.scalar(""), texts), " ")
-    off = lists.offsets.to_numpy().astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64)
-    words, n = coded.dictionary, len(coded.dictionary)
-    # the first chunk of a text has no space before it, the others do
-    heads, back = np.unique(code[off[:-1]], return_inverse=True)
-    code[off[:-1]] = n + back
-    parts = [pc.binary_join_element_wise(pa.scalar(""), words, " "), words.take(pa.array(heads))]
-    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-    if len(at):
-        code[off[at]] = n + len(heads) + np.arange(len(at))
-        parts.append(texts.take(pa.array(at)))
-    return code, off, pa.concat_arrays([x.cast(pa.string()) for x in parts])
+    bounds = offsets_of(texts).astype(np.int64)
+    base = int(bounds[0])
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[base : bounds[-1]] if bounds[-1] > base else np.zeros(0, np.uint8)
+    bounds = bounds - base
+    blank = white(raw)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[1:-1] = blank[1:] & ~blank[:-1]
+    cut[bounds] = True
+    cut[len(raw)] = False
+    starts = np.flatnonzero(cut)
+    off = np.searchsorted(starts, bounds)
+    ends = np.append(starts, len(raw)).astype(np.int32)
+    if not len(starts):
+        return np.zeros(0, np.int64), off, pa.array([], pa.string())
+    coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), off, coded.dictionary
 
 
 def encode_chunks(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
@@ -13,10 +14,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import as_frame, cached, new_path, offsets_of, prepare, settled, slices, texts_of
-from lamina.llm.text import SPLIT, VOCAB, chunks, encoding, ranks
+from lamina.llm.shared import as_frame, cached, discard, new_path, offsets_of, prepare, settled, slices, texts_of
+from lamina.llm.text import EXACT, VOCAB, chunks, compiled, encoding, ranks
 
 WORDS = 65_536
+#: Bytes of the longest word that is compiled, and up to which a chunk is counted unsplit.
+LONGEST, WHOLE = 256, 40
+#: Bytes from which a word is merged by a heap of its own.
+HEAP = 96
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -155,6 +160,7 @@ class Lexicon:
     """A compiled lexicon, mapped where the shared folder is a file system, else read."""
 
     def __init__(self, path: str):
+        self.path = path
         url = urlparse(path)
         if url.scheme in ("", "file"):
             raw = np.memmap(url.path, np.uint8, "r")
@@ -277,10 +283,7 @@ class Lexicon:
 
     def _chunks(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         def split(some: pa.Array):
-            import regex
-
-            find = cached("split", lambda: regex.compile(SPLIT)).findall
-            lists = [find(x) for x in some.to_pylist()]
+            lists = [compiled(EXACT).findall(x) for x in some.to_pylist()]
             many = np.fromiter(map(len, lists), np.int64, len(lists))
             coded = pa.array([w for x in lists for w in x], pa.string()).dictionary_encode()
             ids, size = self._look(coded.dictionary, self._merged)
@@ -293,7 +296,49 @@ class Lexicon:
         return self._look(distinct, split)
 
     def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self.merge(np.frombuffer(words.buffers()[2], np.uint8), offsets_of(words).astype(np.int64))
+        """Ids and sizes: short words merge side by side in arrays, long ones each by a heap."""
+        raw, off = np.frombuffer(words.buffers()[2], np.uint8), offsets_of(words).astype(np.int64)
+        long = np.flatnonzero(np.diff(off) > HEAP)
+        if not len(long):
+            return self.merge(raw, off)
+        short = np.flatnonzero(np.diff(off) <= HEAP)
+        size, parts = np.zeros(len(words), np.int64), {}
+        if len(short):
+            few = words.take(pa.array(short))
+            ids, size[short] = self.merge(np.frombuffer(few.buffers()[2], np.uint8), offsets_of(few).astype(np.int64))
+            parts |= dict(zip(short.tolist(), np.split(ids, np.cumsum(size[short])[:-1])))
+        for k in long.tolist():
+            parts[k] = self.merge_long(raw[off[k] : off[k + 1]])
+            size[k] = len(parts[k])
+        return np.concatenate([parts[k] for k in range(len(words))]), size
+
+    def merge_long(self, raw: np.ndarray) -> np.ndarray:
+        """Ids of one word by merging its lowest-ranked pair, the first of equals, until none is left:
+        a heap of pairs over a linked list of symbols, n log n in the word's bytes."""
+        table = cached(("pairs", self.path), lambda: {k: r for k, r in zip(self.slots.tolist(), self.ranks.tolist()) if k >= 0})
+        first = self.byte_id[raw]
+        n, none = len(first), np.iinfo(np.int32).max
+        rank = self._rank(first[:-1], first[1:])
+        at = np.flatnonzero(rank != none)
+        heap = (rank[at].astype(np.int64) << 40 | at).tolist()
+        heapq.heapify(heap)
+        sym, nxt, prev = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        pop, push, low = heapq.heappop, heapq.heappush, (1 << 40) - 1
+        while heap:
+            key = pop(heap)
+            i, r = key & low, key >> 40
+            if sym[i] < 0 or (j := nxt[i]) >= n or table.get(sym[i] << 32 | sym[j]) != r:
+                continue  # one of the two has merged since
+            sym[i], sym[j] = r, -1  # an id is its rank
+            k = nxt[i] = nxt[j]
+            if k < n:
+                prev[k] = i
+                if (x := table.get(r << 32 | sym[k])) is not None:
+                    push(heap, x << 40 | i)
+            if (p := prev[i]) >= 0 and (x := table.get(sym[p] << 32 | r)) is not None:
+                push(heap, x << 40 | p)
+        out = np.array(sym, np.int32)
+        return out[out >= 0]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -304,8 +349,26 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (total - size), size) + np.arange(total[-1])
 
 
-def frequent_words(docs: DataFrame, limit: int = WORDS) -> DataFrame:
-    """(word, count) of the ``limit`` most frequent chunks over all documents; ties by byte order."""
+def _words(distinct: pa.Array, n: np.ndarray) -> pa.Table:
+    """(word, n): chunks of at most ``WHOLE`` bytes as they are, longer ones as the words they split
+    into, each counted as often as its chunk."""
+    long = pc.binary_length(distinct).to_numpy() > WHOLE
+    short = pa.table({"word": distinct.filter(pa.array(~long)), "n": n[~long]})
+    if not long.any():
+        return short
+    find = compiled(EXACT).findall
+    lists = [find(x) for x in distinct.filter(pa.array(long)).to_pylist()]
+    many = np.repeat(n[long], np.fromiter(map(len, lists), np.int64, len(lists)))
+    return pa.concat_tables([short, pa.table({"word": pa.array([w for x in lists for w in x], pa.string()), "n": many})])
+
+
+def frequent_words(docs: DataFrame, limit: int = WORDS, longest: int = LONGEST) -> DataFrame:
+    """(word, count) of the ``limit`` most frequent chunks over all documents; ties by byte order.
+
+    Every chunk of every document counts, a long one by its words.  Words over ``longest`` bytes are
+    counted like the others but not given: what is given goes to the driver, at most ``limit`` x
+    ``longest`` bytes; encoding such a word merges it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -313,12 +376,11 @@ def frequent_words(docs: DataFrame, limit: int = WORDS) -> DataFrame:
             col = texts_of(b)
             for lo, hi in slices(col):
                 code, _, distinct = chunks(col.slice(lo, hi - lo))
-                n = pa.array(np.bincount(code, minlength=len(distinct)))
-                t = pa.table({"word": distinct, "n": n}).filter(pc.and_(pc.less_equal(pc.binary_length(distinct), 40), pc.greater(n, 0)))
+                t = _words(distinct, np.bincount(code, minlength=len(distinct)))
                 held = t if held is None else pa.concat_tables([held, t])
                 if held.num_rows > 600_000:
                     held = held.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
-                    if held.num_rows > 400_000:
+                    if held.num_rows > 400_000 or held.nbytes > 64 << 20:
                         yield from held.to_batches(max_chunksize=50_000)
                         held = None
         if held is not None:
@@ -326,21 +388,25 @@ def frequent_words(docs: DataFrame, limit: int = WORDS) -> DataFrame:
 
     counts = docs.select("doc_id", "text").filter("text IS NOT NULL").mapInArrow(run, "word string, n bigint")
     counts = settled(counts.groupBy("word").agg(F.sum("n").alias("count")), "words")
+    short = counts.filter(F.octet_length("word") <= longest)
     # a top-k sends k rows from every partition: only words that can be among the first reach it,
     # in eight partitions; a row an eighth of a power of two tells how frequent those are
     step = F.floor(F.log2("count") * 8).cast("int")
     total, least = 0, 0
-    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+    for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
         total, least = total + r.words, r.step
         if total >= limit:
             break
-    return counts.filter(step >= least).repartition(8).orderBy(F.desc("count"), "word").limit(limit)
+    out = short.filter(step >= least).repartition(8).orderBy(F.desc("count"), "word").limit(limit)
+    out._lamina_path = counts._lamina_path
+    return out
 
 
 def build_lexicon(docs: DataFrame, *, vocab: str = VOCAB, words: int = WORDS) -> str:
     """Compile the corpus' frequent words (at most ``words`` rows reach the driver); its path."""
-    path = new_path(docs.sparkSession, "lexicon")
-    compile_lexicon([r.word.encode() for r in frequent_words(docs, words).collect()], vocab, path)
+    path, top = new_path(docs.sparkSession, "lexicon"), frequent_words(docs, words)
+    compile_lexicon([r.word.encode() for r in top.collect()], vocab, path)
+    discard(docs.sparkSession, top)
     return path
 
 
