@@ -8,11 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from lamina.llm.shared import as_frame, prepare, settled, slices, texts_of
 from lamina.llm.text import shingles, word_hashes
 
 K, SHINGLE = 128, 5
+#: Values that a task holds before it folds them.
+HELD = 2 << 20
 #: Hashes have 63 bits, so that they order alike as signed numbers.
 SPACE = 2.0**63
 
@@ -64,33 +68,66 @@ def merged(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merge_parts(parts: DataFrame, by: str, *, k: int = K) -> DataFrame:
-    """(by, sketch, shingles) over all sketches of a group; partial sums keep k values a task.
-
-    The k smallest distinct values of a group are found by rank within (group, value): the group's
-    values are first deduplicated and cut to k per input partition, so a hot group moves k values a
-    task.  Null groups are a group; empty sketches add nothing.
+    """(by, sketch, shingles) over all sketches of a group.
+
+    The k smallest distinct values of a group are found in two steps: each task sorts what it holds
+    by (group, value), keeps k values a group and gives them out; then values are numbered within
+    their group, where again only k a group leave a task.  So a hot group moves k values a task, no
+    row and no task holds more than k of a group at the end, and any number of groups passes, as a
+    task gives out what it holds once that is ``HELD`` values.  Null groups are a group; empty
+    sketches add nothing but their group; null sketches are left out.
     """
     kind = parts.schema[by].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        names: dict = {}
+        group, value, fresh_ = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        more: list[tuple[np.ndarray, np.ndarray]] = []
+        field = None
+
+        def fold():
+            g, v = np.concatenate([group, *(x for x, _ in more)]), np.concatenate([value, *(x for _, x in more)])
+            more.clear()
+            order = np.lexsort((v, g))
+            g, v = g[order], v[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
+            g, v = g[new], v[new]
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            nth = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+            return g[nth < k], v[nth < k]
+
+        def give():
+            # a group without values is still a group
+            bare = np.setdiff1d(np.arange(len(names)), group)
+            keys = pa.array(list(names), field)
+            for lo in range(0, len(group), 1 << 18):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(group[lo : lo + (1 << 18)])), pa.array(value[lo : lo + (1 << 18)])], ["part", "value"])
+            if len(bare):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(bare)), pa.nulls(len(bare), pa.int64())], ["part", "value"])
+
         for b in batches:
-            groups = b.column(0).dictionary_encode(null_encoding="encode")
-            code, off = groups.indices.to_numpy(), b.column(1).offsets.to_numpy()
-            flat = b.column(1).values.to_numpy()
-            row = np.repeat(code, np.diff(off))
-            flat = flat[off[0] : off[-1]]
-            for c, g in enumerate(groups.dictionary.to_pylist()):
-                held[g] = np.unique(np.concatenate([held.get(g, np.zeros(0, np.int64)), flat[row == c]]))[:k]
-        cols = [pa.array(list(held), b.schema.field(0).type), pa.array(list(held.values()), pa.list_(pa.int64()))] if held else None
-        if cols:
-            yield pa.RecordBatch.from_arrays(cols, ["part", "sketch"])
-
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
-    schema = StructType([StructField("part", kind), StructField("sketch", ArrayType(LongType()))])
-    few = parts.filter(F.col("sketch").isNotNull()).select(F.col(f"`{by}`").alias("part"), "sketch").mapInArrow(run, schema)
-    out = few.groupBy("part").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, k).alias("sketch"))
+            field = b.schema.field(0).type
+            code = b.column(0).dictionary_encode(null_encoding="encode")
+            at = np.array([names.setdefault(g, len(names)) for g in code.dictionary.to_pylist()], np.int64)
+            off = b.column(1).offsets.to_numpy()
+            if len(at):
+                more.append((np.repeat(at[code.indices.to_numpy()], np.diff(off)), b.column(1).values.to_numpy()[off[0] : off[-1]]))
+                fresh_ += int(off[-1] - off[0])
+            if fresh_ > HELD or len(names) > HELD:
+                (group, value), fresh_ = fold(), 0
+                if len(group) > HELD // 2 or len(names) > HELD:
+                    yield from give()
+                    names, group, value = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        group, value = fold()
+        if names:
+            yield from give()
+
+    schema = StructType([StructField("part", kind), StructField("value", LongType())])
+    few = parts.filter(F.col("sketch").isNotNull()).select(F.col(f"`{by}`").alias("part"), "sketch").mapInArrow(run, schema).distinct()
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(F.col("value").asc_nulls_last()))
+    few = few.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+    out = few.groupBy("part").agg(F.array_sort(F.collect_list("value")).alias("sketch"))
     return out.select(F.col("part").alias(by), "sketch", distinct(F.col("sketch"), k).alias("shingles"))
 
 
