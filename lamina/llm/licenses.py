@@ -33,24 +33,21 @@ class Scanner:
                 low = name.lower()
                 for x in (low, low.removesuffix("-or-later") + "+" if low.endswith("-or-later") else low + "-only"):
                     self.ids.setdefault(x, n)
-        by_word: dict[str, list[int]] = {}
-        for n, (_, _, _, words, _) in enumerate(self.rules):
-            for w in words:
-                by_word.setdefault(w, []).append(n)
-        # a keyword of several words is looked for by its first, as any white space may follow it
+        by_phrase: dict[str, list[int]] = {}
+        for n, (_, _, _, phrases, _) in enumerate(self.rules):
+            for w in phrases:
+                by_phrase.setdefault(w, []).append(n)
         self.auto = ahocorasick.Automaton()
-        first: dict[str, list[int]] = {}
-        for w, own in by_word.items():
-            first.setdefault(w.split()[0], []).extend(own)
-        for w, own in first.items():
+        for w, own in by_phrase.items():
             self.auto.add_word(w, tuple(own))
         self.auto.make_automaton()
-        #: for whole batches: one pattern of all the first words
-        self.gate = "(?i)" + "|".join(re.escape(w) for w in sorted(first))
+        #: for whole batches: one pattern of all keywords, any white space between their words
+        self.gate = "(?i)" + "|".join(r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+".join(map(re.escape, w.split())) for w in sorted(by_phrase))
 
     def gated(self, text: str) -> list[int]:
+        """Rules of which a whole keyword occurs, white space of any kind and length between its words."""
         hit: set[int] = set()
-        for _, own in self.auto.iter(text.lower()):
+        for _, own in self.auto.iter(" ".join(text.lower().split())):
             hit.update(own)
         return sorted(hit)
 
