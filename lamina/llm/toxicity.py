@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_r
     """A sentence model from at most ``toxic_rows`` + ``clean_rows`` labelled documents.
 
     The sample is the labelled ids of smallest seeded hash of each class; an id labelled both ways
-    counts as toxic.  The model is fitted in one task; it is some tens of kilobytes.
+    counts as toxic, and of several texts with one id the smallest in byte order is taken, so that
+    repeated rows make the sample no larger.  The model is fitted in one task; it is some tens of kilobytes.
     """
     prepare(docs.sparkSession)
     lab = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("l_id")).agg(F.max("toxic").alias("y"))
@@ -170,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_r
     picked = lab.filter("y = 1").orderBy(h, "l_id").limit(toxic_rows).unionByName(lab.filter("y = 0").orderBy(h, "l_id").limit(clean_rows))
     # at most toxic_rows + clean_rows pairs of numbers
     sample = as_frame(docs, id_col, text_col).filter("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(i, t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns))]
@@ -233,7 +235,11 @@ def locate(s, p, starts, first, raw, off, threshold: float) -> list:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.6, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns; null text stays."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    Null and empty texts score as empty sentences and stay; equal rows go or stay together; null ids
+    are scored like others; an empty table stays empty, and without labels of both classes all stay.
+    """
     model = train(docs, labels, id_col=id_col, text_col=text_col, **training)
     (t,) = fresh(docs, "__text")
     keyed = docs.withColumn(t, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
