@@ -154,7 +154,14 @@ def token_shards(docs: DataFrame, *, vocab: str = VOCAB, sequence: int = SEQUENC
 
 def write_shards(shards: DataFrame, folder: str) -> DataFrame:
     """Write each shard as ``folder``/shard-N.bin (to a name of its own, then renamed, so that a
-    retried task replaces what it wrote) and return the manifest without the payloads."""
+    retried task replaces what it wrote) and return the manifest without the payloads.
+
+    A folder that holds shards already raises ``FileExistsError``: two runs never mix.  No shards
+    write none.
+    """
+    fs, root = pafs.FileSystem.from_uri(folder)
+    if any(x.base_name.startswith("shard-") for x in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))):
+        raise FileExistsError(f"{folder} holds shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -171,12 +178,23 @@ def write_shards(shards: DataFrame, folder: str) -> DataFrame:
 
 
 def read_slots(folder: str, begin: int, end: int, *, sequence: int = SEQUENCE, per_shard: int = PER_SHARD, kind=np.uint16) -> Iterator[np.ndarray]:
-    """Sequences of slots ``begin`` ... ``end`` - 1, by seeking: resumes at any slot."""
+    """Sequences of slots ``begin`` ... ``end`` - 1, by seeking: resumes at any slot.
+
+    An empty range gives none; a slot before 0 or past the last raises ``IndexError``.
+    """
+    if begin < 0:
+        raise IndexError(f"slot {begin}")
     fs, root = pafs.FileSystem.from_uri(folder)
     stride = sequence * np.dtype(kind).itemsize
-    for shard in range(begin // per_shard, -(-end // per_shard)):
+    for shard in range(begin // per_shard, -(-end // per_shard) if end > begin else 0):
         lo, hi = max(begin, shard * per_shard), min(end, (shard + 1) * per_shard)
-        with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
-            f.seek((lo % per_shard) * stride)
-            for _ in range(hi - lo):
-                yield np.frombuffer(f.read(stride), kind)
+        path = f"{root}/shard-{shard:08d}.bin"
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            raise IndexError(f"slot {lo}")
+        with fs.open_input_file(path) as f:
+            f.seek(min((lo % per_shard) * stride, f.size()))
+            for slot in range(lo, hi):
+                raw = f.read(stride)
+                if len(raw) < stride:
+                    raise IndexError(f"slot {slot}")
+                yield np.frombuffer(raw, kind)
