@@ -16,6 +16,8 @@ from lamina.llm.shared import as_frame, prepare, settled, slices, take_rows, tex
 from lamina.llm.text import VOCAB, encode_chunks
 
 SEED = 20
+#: Documents of one source and length that one task ranks.
+CELL = 4096
 #: Of all tokens, the share that the registered mixture asks for, with equal target weights.
 KEEP = 0.7
 
@@ -110,7 +112,7 @@ def quotas(rows: Mapping[str | None, int], share: Mapping[str | None, float], to
 
 
 def plan_mix(lengths: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, seed: int = SEED, keep: float | None = None) -> DataFrame:
-    """(source, n_tokens, take): the histogram of lengths with the number to take from each.
+    """(source, n_tokens, take, count): the histogram of lengths with the number to take from each.
 
     ``weights`` maps a source to its share (None: equal shares; sources left out get none).
     ``total_tokens`` or ``keep``, a share of all tokens there are, is what ``quotas`` shares out.
@@ -134,21 +136,40 @@ def plan_mix(lengths: DataFrame, weights: Mapping[str, float] | None = None, tot
         own = int.from_bytes(hashlib.blake2b(f"{seed}/{s}".encode(), digest_size=6).digest(), "big")
         frame = frame.sort_values("n_tokens")
         if not share.get(s):
-            return frame.assign(take=0)[["source", "n_tokens", "take"]]
+            return frame.assign(take=0)[["source", "n_tokens", "take", "count"]]
         take = fit_counts(frame["n_tokens"].to_numpy(), frame["count"].to_numpy(), quota[s], own)
-        return frame.assign(take=take)[["source", "n_tokens", "take"]]
+        return frame.assign(take=take)[["source", "n_tokens", "take", "count"]]
 
-    return hist.groupBy("source").applyInPandas(fit, "source string, n_tokens bigint, take bigint")
+    return hist.groupBy("source").applyInPandas(fit, "source string, n_tokens bigint, take bigint, count bigint")
 
 
 def _chosen(docs: DataFrame, weights, total_tokens, seed: int, keep: float | None, **cols) -> DataFrame:
+    """Rows of ``token_lengths`` with ``kept``: those of smallest seeded hash in each source and length.
+
+    Where all or none of a length are taken nothing is ranked.  Else the hashes are cut into cells of
+    about ``CELL`` rows: cells below the cut stay whole, and only the one that it falls into is ranked.
+    """
     lengths = settled(token_lengths(docs, **cols), "lengths")
-    plan = plan_mix(lengths, weights, total_tokens, seed, keep)
-    w = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash")), F.col("doc_id"), F.col("text_hash"))
-    ranked = lengths.withColumn("nth", F.row_number().over(w))
-    p = plan.select(F.col("source").alias("p_source"), F.col("n_tokens").alias("p_tokens"), "take")
-    on = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("n_tokens") == F.col("p_tokens"))
-    return ranked.join(p, on).withColumn("kept", F.col("nth") <= F.col("take")).select("doc_id", "source", "n_tokens", "text_hash", "kept")
+    plan = settled(plan_mix(lengths, weights, total_tokens, seed, keep), "plan")
+    p = plan.select(F.col("source").alias("p_source"), F.col("n_tokens").alias("p_tokens"), "take", "count")
+    h = lengths.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash")))
+    some = h.join(p, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("n_tokens") == F.col("p_tokens"))).drop("p_source", "p_tokens")
+    cut = (F.col("take") > 0) & (F.col("take") < F.col("count"))
+    cells = F.ceil(F.col("count") / CELL)
+    cell = F.when(cut, F.floor((F.col("h") / 2.0**64 + 0.5) * cells)).otherwise(F.lit(0))
+    some = some.withColumn("cell", cell.cast("bigint"))
+    key = ["source", "n_tokens", "cell"]
+    size = some.filter(cut).groupBy(*key).agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("source", "n_tokens").orderBy("cell"))
+    size = size.select(*[F.col(c).alias("c_" + c) for c in key], (upto - F.col("rows")).alias("below"), upto.alias("upto"))
+    on = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("n_tokens") == F.col("c_n_tokens")) & (F.col("cell") == F.col("c_cell"))
+    some = some.join(size, on, "left")
+    hit = cut & (F.col("below") < F.col("take")) & (F.col("take") < F.col("upto"))
+    sure = F.when(cut, F.col("upto") <= F.col("take")).otherwise(F.col("take") > 0)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id", "text_hash"))
+    ranked = some.filter(hit).withColumn("kept", nth + F.col("below") <= F.col("take"))
+    out = some.filter(~F.coalesce(hit, F.lit(False))).withColumn("kept", sure).unionByName(ranked)
+    return out.select("doc_id", "source", "n_tokens", "text_hash", "kept")
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, *, keep: float | None = None, seed: int = SEED, vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -164,7 +185,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total_token
 
 
 def mix_rows(docs: DataFrame, weights: Mapping[str, float] | None = None, total_tokens: int | None = None, *, keep: float | None = None, seed: int = SEED, vocab: str = VOCAB, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows that ``mix`` takes, with all their columns; rows alike in id and text stand for each other."""
+    """The rows that ``mix`` takes, with all their columns; rows alike in id and text stand for each other.
+
+    Null texts have length 0, null ids and sources are kept as such, equal rows count apart, an empty
+    table stays empty, and columns may have any names.
+    """
     got = _chosen(docs, weights, total_tokens, seed, keep, vocab=vocab, id_col=id_col, text_col=text_col, source_col=source_col)
     keys = got.groupBy("doc_id", "text_hash").agg(F.sum(F.col("kept").cast("bigint")).alias("take"), F.count("*").alias("rows"))
     return take_rows(docs, keys, id_col, text_col)
