@@ -110,6 +110,10 @@ def lm_scores(corpus: DataFrame, queries: DataFrame, *, smoothing: float = 1.0,
     corpus has: p_k = (c(context_k, word) + s * p_(k-1)) / (c(context_k) + s), from p_0 uniform over
     the words of the queries plus one for all others, so unseen words keep some probability.
 
+    Queries are a bounded table: they are collected to the driver and sent to every task, in blocks of
+    64 MB of text.  Every block builds the shards' suffix arrays anew, so the cost grows with the
+    number of blocks; scores do not depend on it.
+
     Words are lower-cased and split at white space; no context is cut short.  Null or empty query
     text gives 0 words and null scores; null or empty corpus rows hold no words; equal rows count
     and are scored apart; an empty corpus leaves p_0.
