@@ -25,7 +25,7 @@ class Scanner:
         import ahocorasick
 
         self.rules = rules() if table is None else table
-        self.patterns = [re.compile(p.replace(" ", r"\s+").replace(r"\s+?", r"\s*"), re.IGNORECASE) for *_, p in self.rules]
+        self.patterns = [re.compile(r"(?<!\w)(?:" + p.replace(" ", r"\s+").replace(r"\s+?", r"\s*") + ")", re.IGNORECASE | re.DOTALL) for *_, p in self.rules]
         # ids of SPDX expressions, by the rules of the tag
         self.ids: dict[str, int] = {}
         for n, (name, kind, *_) in enumerate(self.rules):
@@ -39,16 +39,19 @@ class Scanner:
                 by_phrase.setdefault(w, []).append(n)
         self.auto = ahocorasick.Automaton()
         for w, own in by_phrase.items():
-            self.auto.add_word(w, tuple(own))
+            self.auto.add_word(w, (len(w), tuple(own)))
         self.auto.make_automaton()
-        #: for whole batches: one pattern of all keywords, any white space between their words
-        self.gate = "(?i)" + "|".join(r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+".join(map(re.escape, w.split())) for w in sorted(by_phrase))
+        #: for whole batches: one pattern of all keywords at word starts, any white space between their words
+        self.gate = "(?i)" + "|".join((r"\b" if w[0].isalnum() else "") + r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+".join(map(re.escape, w.split())) for w in sorted(by_phrase))
 
     def gated(self, text: str) -> list[int]:
-        """Rules of which a whole keyword occurs, white space of any kind and length between its words."""
+        """Rules of which a whole keyword occurs at the start of a word, with any white space within."""
         hit: set[int] = set()
-        for _, own in self.auto.iter(" ".join(text.lower().split())):
-            hit.update(own)
+        low = " ".join(text.lower().split())
+        for end, (size, own) in self.auto.iter(low):
+            at = end - size
+            if at < 0 or not (low[at] == "_" or low[at].isalnum()) or not low[at + 1].isalnum():
+                hit.update(own)
         return sorted(hit)
 
     def scan(self, text: str, gate: bool = True) -> list[tuple[int, int, int]]:
