@@ -45,22 +45,49 @@ def token_lengths(docs: DataFrame, *, vocab: str = VOCAB, id_col: str = "doc_id"
     return few.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, text_hash bigint")
 
 
+def _knapsack(length: np.ndarray, spare: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
+    """Of ``spare`` items of each length, those whose sum is the largest that ``budget`` allows.
+
+    Counts are split into powers of two; the bits of an integer are the sums in reach.
+    """
+    take, items, mask, sums = np.zeros_like(spare), [], (1 << (budget + 1)) - 1, [1]
+    for k in order:
+        if not 0 < length[k] <= budget:
+            continue
+        rest, size = int(min(spare[k], budget // length[k])), 1
+        while rest > 0 and not sums[-1] >> budget & 1:
+            n = min(size, rest)
+            items.append((int(k), n))
+            sums.append((sums[-1] | sums[-1] << n * int(length[k])) & mask)
+            rest, size = rest - n, size * 2
+    at = sums[-1].bit_length() - 1
+    for (k, n), before in zip(reversed(items), reversed(sums[:-1])):
+        if not before >> at & 1:
+            take[k] += n
+            at -= n * int(length[k])
+    return take
+
+
 def fit_counts(length: np.ndarray, count: np.ndarray, budget: int, seed: int = SEED) -> np.ndarray:
-    """How many documents of each length to take so that their tokens come closest under ``budget``.
+    """How many documents of each length to take so that their tokens are the most that fit ``budget``.
 
     Every length first gives its share rounded down; lengths then give one more, in order of the
     fraction they lost, until what is left fits ``4 x`` the longest remaining length; a bounded
-    knapsack (counts split into powers of two, reachable sums as the bits of an integer) fits that
-    remainder exactly where any subset does, else to the largest sum below it.  Zero-length
-    documents cost nothing and are taken whole.
+    knapsack fits that remainder.  Where no subset of what remains does exactly, documents of the
+    shortest lengths are put back, twice as many lengths and documents each time, and fitted anew, until
+    a subset is exact or every document has been put back, when the knapsack covers all.  Lengths and
+    budget are first divided by what divides all lengths.  Zero-length documents cost nothing and are
+    taken whole.
     """
     order = np.argsort(length, kind="stable")
     length, count = length[order].astype(np.int64), count[order].astype(np.int64)
+    common = max(1, int(np.gcd.reduce(length))) if len(length) else 1
+    length, budget = length // common, max(0, int(budget)) // common
     total = int((length * count).sum())
     if total <= budget:
         take = count.copy()
     else:
-        share = count * (max(budget, 0) / total)
+        share = count * (budget / total)
         take = np.minimum(np.floor(share).astype(np.int64), count)
         take[length == 0] = count[length == 0]
         while int((length * take).sum()) > budget:  # rounding of a float share
@@ -78,19 +105,20 @@ def fit_counts(length: np.ndarray, count: np.ndarray, budget: int, seed: int = S
             n = min(int(count[k] - take[k]), (left - most) // int(length[k]) + 1, left // int(length[k]))
             take[k] += n
             left -= n * int(length[k])
-        items, mask, sums = [], (1 << (left + 1)) - 1, [1]
-        for k in rng.permutation(np.flatnonzero((count > take) & (length > 0) & (length <= left))):
-            rest, size = int(min(count[k] - take[k], left // length[k])), 1
-            while rest > 0 and not sums[-1] >> left & 1:
-                n = min(size, rest)
-                items.append((int(k), n))
-                sums.append((sums[-1] | sums[-1] << n * int(length[k])) & mask)
-                rest, size = rest - n, size * 2
-        at = sums[-1].bit_length() - 1
-        for (k, n), before in zip(reversed(items), reversed(sums[:-1])):
-            if not before >> at & 1:
-                take[k] += n
-                at -= n * int(length[k])
+        mixed, live = rng.permutation(len(length)), np.flatnonzero(length > 0)
+        base, best, lengths, each = take.copy(), None, 8, 1
+        while True:
+            room = budget - int((length * base).sum())
+            got = base + _knapsack(length, count - base, room, mixed)
+            if best is None or (length * got).sum() > (length * best).sum():
+                best = got
+            back = np.minimum(take[live[:lengths]], each)
+            if (length * best).sum() == budget or not base[live].any():
+                break
+            base = take.copy()
+            base[live[:lengths]] -= back
+            lengths, each = lengths * 2, each * 2
+        take = best
     out = np.empty_like(take)
     out[order] = take
     return out
