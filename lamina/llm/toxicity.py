@@ -145,8 +145,9 @@ def score(col: pa.Array, model: dict, table: np.ndarray):
         inside[at] = True
         at_byte[: len(v)] += np.where(inside, v, np.float32(0))
     ends = np.append(starts[1:], len(raw))
-    total = np.concatenate([[0.0], np.cumsum(at_byte, dtype=np.float64)])
-    z = np.clip(model["bias"] + total[ends] - total[starts], -30, 30)
+    # each sentence is summed on its own, so equal texts score equally wherever they stand
+    own = np.add.reduceat(at_byte.astype(np.float64), starts) if len(starts) else np.zeros(0)
+    z = np.clip(model["bias"] + np.where(ends > starts, own, 0.0), -30, 30)
     p = 1 / (1 + np.exp(-z))
     none = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), first) if len(first) else np.zeros(0)
     return 1 - np.exp(none), p, starts, first, raw, off
