@@ -103,12 +103,12 @@ class Keepers:
     """A bucket that holds the best row of each content: smallest id (null last), then smallest row hash.
 
     Columns 0, 1, 2 are text, id and row hash.  Rows that a better one replaced are let go of once
-    they are half of what is held.
+    what is held has doubled.
     """
 
     def __init__(self):
         self.table, self.batches = Table(), []
-        self.size = self.stale = 0
+        self.size = self.stale = self.floor = 0
         self.id, self.hash, self.at, self.row = (np.zeros(0, np.int64) for _ in range(4))
 
     def add(self, b: pa.RecordBatch) -> None:
@@ -128,9 +128,10 @@ class Keepers:
         self.id[g], self.hash[g], self.at[g], self.row[g] = ids[best], mark[best], len(self.batches), np.arange(len(best))
         self.batches.append(b.take(pa.array(best)))
         self.size += self.batches[-1].nbytes
-        if self.stale > max(16, self.contents):
+        if self.stale and self.size > 2 * self.floor + (1 << 20):
             whole = list(self.finish())
             self.batches, self.stale, self.size = whole, 0, sum(x.nbytes for x in whole)
+            self.floor = self.size
             # finish() goes by batch, then by row
             order, start = np.lexsort((self.row, self.at)), 0
             for n, x in enumerate(whole):
