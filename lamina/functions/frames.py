@@ -66,12 +66,25 @@ def empty(spark: SparkSession, columns: dict[str, str]) -> DataFrame:
 def latest_per(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order``; NULL keys group together.
 
-    One aggregate with map-side combine, where a window would sort every row.
+    One aggregate that combines before the shuffle, so a key's older rows stay where they are.
     """
     rest = [c for c in df.columns if c not in key]
     best = df.groupBy(*map(q, key)).agg(F.max_by(F.struct(*map(q, rest)), F.struct(*map(q, order))).alias("__last"))
     return best.select(*[q(c) if c in key else F.col("__last").getField(c).alias(c) for c in df.columns])
 
 
+def strict(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Cast the declared columns; a value that is not of its type raises, whatever the session's mode."""
+
+    def one(c: str) -> Column:
+        if c not in columns or df.schema[c].dataType == spark_type(columns[c]):
+            return q(c)
+        got = q(c).try_cast(ddl(columns[c]))
+        bad = F.raise_error(F.concat(F.lit(f"{c} is no {columns[c]}: "), q(c).cast("string"))).cast(ddl(columns[c]))
+        return F.when(q(c).isNotNull() & got.isNull(), bad).otherwise(got).alias(c)
+
+    return df.select(*[one(c) for c in df.columns])
+
+
 def ordered(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*[q(k).asc_nulls_last() for k in keys])

@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Masters whose executors are this process.
+LOCAL = re.compile(r"local(\[.*\])?")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share.  A local session that names none, as in tests, gets one
+    of its own; a cluster that names none raises, as no other folder outlives an executor."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not LOCAL.fullmatch(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="lamina-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as of now, checkpointed in the folder that the cluster names; a session that names
-    none, as in tests, gets one of its own."""
+    """``df`` as of now, checkpointed in the folder that the cluster names."""
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lamina-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -38,14 +38,14 @@ def labels_of(axis: DataFrame, dim: str) -> DataFrame:
 def expand(df: DataFrame, dims: Sequence[str], axes: Mapping[str, DataFrame]) -> DataFrame:
     """Replace NULL in ``dims`` by a row a label; an axis that is absent or empty leaves the NULL.
 
-    The labels travel as one broadcast row, so no row is joined with an axis.
+    The labels travel as one row, so no row is joined with an axis.
     """
     for d in dims:
         if d not in axes or d not in df.columns:
             continue
         labels = f"__labels_{d}"
-        # one row, an array of an axis' labels
-        df = df.crossJoin(F.broadcast(labels_of(axes[d], d)))
+        # one row, an array of an axis' labels; Spark knows that and sends it out while it is small
+        df = df.crossJoin(labels_of(axes[d], d))
         each = F.explode_outer(F.when(q(d).isNull(), F.col(labels)).otherwise(F.array(q(d)))).alias(d)
         df = df.select(*[each if c == d else q(c) for c in df.columns if c != labels])
     return df

@@ -8,8 +8,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lamina.functions.frames import R, anti, latest_per, matches, q, renamed, semi, union_by_name, with_missing
+from lamina.functions.frames import R, anti, latest_per, matches, q, renamed, semi, strict, union_by_name, with_missing
 from lamina.functions.settle import settled
 from lamina.functions.types import ddl
 from lamina.operators.axes import expand
@@ -101,15 +102,15 @@ class WorkingRecord:
         self._entities: list[tuple[int, str, str, DataFrame]] = []
         self._now: Resolver | None = None
 
-    # -- staging ------------------------------------------------------------------------------
-
     def _stage_values(self, kind: str, attribute: str, rows: DataFrame) -> None:
         s = self.schema
         types = s.types_of(["name", "bus", *s.dimensions, "attribute", "breakpoint"]) | {"value": s.value_type(attribute)}
         if s.spec(attribute) is None and "value" in rows.columns:
             types["value"] = rows.schema["value"].dataType.simpleString()
         full = with_missing(rows, types).withColumn("attribute", F.lit(attribute))
-        full = full.select(*[F.expr(f"try_cast(`{c}` AS {ddl(types[c]) if c != 'value' else _ddl(types[c])})").alias(c) for c in s.long_columns])
+        # only a value may fail its cast: a label that became NULL would mean every label
+        full = strict(full, {c: t for c, t in types.items() if c != "value"})
+        full = full.select(*[q(c) if c != "value" else q(c).try_cast(_ddl(types[c])).alias(c) for c in s.long_columns], q("_nth") if "_nth" in full.columns else _place())
         self._seq += 1
         self._values.append((self._seq, kind, attribute, full))
         self._now = None
@@ -117,13 +118,13 @@ class WorkingRecord:
     def _stage_entities(self, kind: str, ctype: str, rows: DataFrame, deleted: bool) -> None:
         s = self.schema
         key = s.component_key if kind == "components" else s.connection_key
-        rows = with_missing(rows.drop("component_type", "deleted"), s.types_of(key))
+        rows = strict(with_missing(rows.drop("component_type", "deleted"), s.types_of(key)), s.types_of(key))
+        if "_nth" not in rows.columns:
+            rows = rows.withColumn("_nth", _place())
         self._seq += 1
         self._entities.append((self._seq, kind, ctype, rows.withColumn("component_type", F.lit(ctype)).withColumn("deleted", F.lit(deleted))))
         self._now = None
 
-    # -- validation ---------------------------------------------------------------------------
-
     def _check_dims(self, dims: Mapping[str, Any], attribute: str | None = None, kind: str = "inputs") -> None:
         unknown = [d for d in dims if d not in self.schema.dimensions]
         if unknown:
@@ -155,8 +156,6 @@ class WorkingRecord:
         types = list(self.schema.types_declaring(attribute))
         return self._resolver.entity_map("components").filter(q("component_type").isin(types)).select("name").distinct()
 
-    # -- edits --------------------------------------------------------------------------------
-
     def set(self, attribute: str, value: Any, *, names: Sequence[str] | str | None = None, bus: str | None = None, kind: str = "inputs", **dims: Any) -> None:
         """Stage values: a scalar, sequence, mapping or series, a long frame, or a Column over the
         present ``value``.  Without ``names`` every member whose type declares the attribute is meant."""
@@ -251,14 +250,15 @@ class WorkingRecord:
         dims = [d for d in self.schema.dimensions if d in rows.columns]
         key = [d for d in self.schema.component_dims if d in rows.columns]
         member = [c for c in rows.columns if c not in (*varying, *linked, "bus", "role", *[d for d in dims if d not in key])]
-        self._stage_entities("components", ctype, rows.select(*map(q, member)).distinct(), False)
+        rows = rows.withColumn("_nth", _place())
+        self._stage_entities("components", ctype, _first_places(rows.select(*map(q, member), "_nth")), False)
         for a in varying:
             extra = ["bus"] if "bus" in rows.columns and own[a].bus == "connection" else []
-            values = rows.filter(q(a).isNotNull()).select("name", *extra, *[q(d) for d in dims if d in own[a].dims], q(a).alias("value"))
-            self._stage_values("inputs", a, values.distinct())
+            values = rows.filter(q(a).isNotNull()).select("name", *extra, *[q(d) for d in dims if d in own[a].dims], q(a).alias("value"), "_nth")
+            self._stage_values("inputs", a, _first_places(values))
         if "bus" in rows.columns:
             cols = ["name", "bus", *[c for c in ("role",) if c in rows.columns], *[d for d in self.schema.connection_dims if d in rows.columns], *linked]
-            self.connect(ctype, rows.select(*map(q, cols)).distinct())
+            self.connect(ctype, _first_places(rows.select(*map(q, cols), "_nth")))
 
     def remove(self, ctype: str, names: Sequence[str] | str, **component_dims: Any) -> None:
         """Stage tombstones, in the given scope of component dims or everywhere."""
@@ -283,8 +283,6 @@ class WorkingRecord:
         rows = ingest(self.spark, [{"name": n, "bus": b} for n, b in pairs], {"name": "VARCHAR", "bus": "VARCHAR"})
         self._stage_entities("connections", ctype, self._scoped(rows, None, connection_dims), True)
 
-    # -- what is staged -----------------------------------------------------------------------
-
     def pending_rows(self) -> DataFrame:
         """(kind, item, rows) of everything staged."""
         parts = [f.select(F.lit(k).alias("kind"), F.lit(a).alias("item")) for _, k, a, f in [*self._values, *self._entities]]
@@ -305,16 +303,17 @@ class WorkingRecord:
         self._now = None
 
     def collapsed_entities(self, kind: str) -> DataFrame | None:
-        """The last staged row of each key, whatever its type."""
+        """The last staged row of each key, whatever its type; within a call the later row."""
         key = self.schema.component_key if kind == "components" else self.schema.connection_key
         frames = [f.withColumn("_seq", F.lit(n)) for n, k, _, f in self._entities if k == kind]
-        return latest_per(union_by_name(frames), key, ["_seq"]) if frames else None
+        return latest_per(union_by_name(frames), key, ["_seq", "_nth"]) if frames else None
 
     def collapsed_values(self, attribute: str, kind: str = "inputs") -> DataFrame:
-        """The last staged value of each coordinate; names or connections now removed have none."""
+        """The last staged value of each coordinate, within a call the later row; names or connections
+        now removed have none."""
         s = self.schema
         frames = [f.withColumn("_seq", F.lit(n)) for n, k, a, f in self._values if k == kind and a == attribute]
-        rows = latest_per(union_by_name(frames), ["name", "bus", *s.dimensions, "attribute", "breakpoint"], ["_seq"]).drop("_seq")
+        rows = latest_per(union_by_name(frames), ["name", "bus", *s.dimensions, "attribute", "breakpoint"], ["_seq", "_nth"]).drop("_seq", "_nth")
         if kind == "inputs":
             for k, key, dims in (("components", s.component_key, s.component_dims), ("connections", s.connection_key, s.connection_dims)):
                 last = self.collapsed_entities(k)
@@ -342,10 +341,13 @@ class WorkingRecord:
         for kind, out in entities.items():
             rows = self.collapsed_entities(kind)
             if rows is not None:
+                # in the order they were staged, each a number of its own; as many rows as callers gave
+                nth = F.row_number().over(Window.orderBy("_seq", "_nth")) - 1
+                rows = rows.withColumn("_row", nth.cast("bigint"))
                 for t in dict.fromkeys(t for _, k, t, _ in self._entities if k == kind):
                     own = [f.columns for _, k, x, f in self._entities if k == kind and x == t]
-                    keep = dict.fromkeys(c for cols in own for c in cols)
-                    out[t] = rows.filter(q("component_type") == t).withColumn("_row", q("_seq").cast("bigint")).select(*map(q, keep), "_row")
+                    keep = dict.fromkeys(c for cols in own for c in cols if c != "_nth")
+                    out[t] = rows.filter(q("component_type") == t).select(*map(q, keep), "_row")
 
         held: dict[str, DataFrame] = {}
 
@@ -363,8 +365,6 @@ class WorkingRecord:
 
         return Layer("staged", {}, entities["components"], entities["connections"], Frames(lambda: keys("inputs"), inputs), Frames(lambda: keys("outputs"), lambda a: self.collapsed_values(a, "outputs")))
 
-    # -- reading ------------------------------------------------------------------------------
-
     @property
     def _resolver(self) -> Resolver:
         if not self._values and not self._entities:
@@ -401,8 +401,6 @@ class WorkingRecord:
     def flags(self, ctype: str) -> dict[str, Flags]:
         return as_flags(self._resolver.flags(ctype))
 
-    # -- commit -------------------------------------------------------------------------------
-
     def commit(self, target: NewChild | Directory, *, strict: bool = False):
         """Write the edits and clear them; a revision for NewChild, a record for Directory."""
         if isinstance(target, NewChild):
@@ -434,6 +432,16 @@ class WorkingRecord:
             raise RecordError(f"names of another type: {[r.name for r in bad]}")
 
 
+def _place() -> Column:
+    """Where a row stands in the frame of a call."""
+    return F.monotonically_increasing_id().alias("_nth")
+
+
+def _first_places(df: DataFrame) -> DataFrame:
+    """Distinct rows, each where it first stood."""
+    return df.groupBy(*[q(c) for c in df.columns if c != "_nth"]).agg(F.min("_nth").alias("_nth"))
+
+
 def _ddl(kind: str) -> str:
     try:
         return ddl(kind)

@@ -144,7 +144,7 @@ def default_fill(rows: DataFrame, members: DataFrame, axes: Mapping[str, DataFra
     dims = [d for d in schema.dimensions if spec is not None and d in spec.dims and d in axes]
     grid = members.select("name").distinct()
     for d in dims:
-        grid = grid.crossJoin(F.broadcast(axes[d].select(q(d)).distinct()))
+        grid = grid.crossJoin(axes[d].select(q(d)).distinct())
     r = rows.select(q("name").alias("__name"), *[q(d).alias("__" + d) for d in dims], q("value").alias("__value"))
     on = q("name") == q("__name")
     for d in dims:

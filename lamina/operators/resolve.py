@@ -16,6 +16,10 @@ from lamina.schema import Schema
 from lamina.sources.layers import Layer
 
 
+#: Bits of flags below the depth of a packed winner: two a dim and one for curves.
+MASK_BITS = 40
+
+
 @dataclass(frozen=True)
 class Maps:
     """Owner maps of an ancestor, to start from: its rows keep their layer and depth."""
@@ -35,8 +39,11 @@ def _row(df: DataFrame) -> DataFrame:
     return df.withColumn("_row", F.row_number().over(Window.orderBy(*map(q, keys))) - 1)
 
 
-def _flag(df: DataFrame, column: str, default: bool) -> Column:
-    return q(column) if column in df.columns else F.lit(default)
+def _packed(schema: Schema) -> Column:
+    """The flags of a written map as bits."""
+    on = lambda c, n: F.when(c, 1 << n).otherwise(0)
+    bits = [on(F.col(f).getField(x), 2 * n + k) for n, x in enumerate(schema.dimensions) for k, f in enumerate(("varies", "broadcast"))]
+    return sum(bits, on(F.col("breakpoints"), 2 * len(schema.dimensions))).cast("bigint")
 
 
 class Resolver:
@@ -47,10 +54,28 @@ class Resolver:
     rows survive its own tombstones.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema, layers: Sequence[Layer], base: Maps | None = None):
+    def __init__(self, spark: SparkSession, schema: Schema, layers: Sequence[Layer], base: Maps | None = None, *, keep: bool = False):
         if schema.partial is None and any(s.keys for s in schema.dimensions.values()):
             raise ValueError("a layered record whose dims key entities must say which dims are partial")
+        if 2 * len(schema.dimensions) >= MASK_BITS:
+            raise ValueError(f"more than {MASK_BITS // 2 - 1} dims")
         self.spark, self.schema, self.layers, self.base = spark, schema, list(layers), base
+        # maps by what they are of: folded once and persisted, for layers that never change
+        self._kept: dict | None = {} if keep else None
+
+    def _once(self, key, build) -> DataFrame:
+        if self._kept is None:
+            return build()
+        if key not in self._kept:
+            self._kept[key] = build().persist()
+        return self._kept[key]
+
+    def release(self) -> None:
+        """Let go of kept maps; they are folded anew when asked for."""
+        for df in (self._kept or {}).values():
+            df.unpersist()
+        if self._kept:
+            self._kept.clear()
 
     @property
     def _new(self) -> list[tuple[int, Layer]]:
@@ -58,8 +83,6 @@ class Resolver:
         done = self.base.depth if self.base else -1
         return [(d, x) for d, x in enumerate(self.layers) if d > done]
 
-    # -- axes ---------------------------------------------------------------------------------
-
     @cached_property
     def axes(self) -> dict[str, DataFrame]:
         """Folded axes with ``_pos``; a dim without rows anywhere is absent."""
@@ -77,8 +100,6 @@ class Resolver:
     def axis(self, dim: str) -> DataFrame:
         return self.axes[dim].orderBy("_pos").drop("_pos")
 
-    # -- tombstones ---------------------------------------------------------------------------
-
     def _deaths(self, kind: str, key: Sequence[str], dims: Sequence[str]) -> DataFrame | None:
         frames = []
         for d, layer in self._new:
@@ -110,46 +131,52 @@ class Resolver:
     def _dead_connections(self) -> DataFrame | None:
         return self._deaths("connections", self.schema.connection_key, self.schema.connection_dims)
 
-    # -- owner maps ---------------------------------------------------------------------------
-
     def inputs_map(self, attributes: Iterable[str] | None = None) -> DataFrame:
         """(input key, depth, layer, varies, broadcast, breakpoints); only key columns are read."""
+        only = None if attributes is None else frozenset(attributes)
+        return self._once(("inputs", only), lambda: self._inputs_map(only))
+
+    def _inputs_map(self, only: frozenset[str] | None) -> DataFrame:
+        """Two hash aggregates over numbers alone: flags are bits, or-ed for each key and layer; then
+        the greatest (depth, flags) of each key wins."""
         s, key = self.schema, self.schema.input_key
-        only = None if attributes is None else set(attributes)
         frames = []
         for d, layer in self._new:
             for a in layer.inputs:
                 if only is not None and a not in only:
                     continue
                 f = with_missing(layer.inputs[a], s.types_of(["bus", *s.dimensions, "breakpoint"]))
-                flags = [q(x).isNotNull().alias(f"__has_{x}") for x in s.dimensions]
                 name = q("attribute") if "attribute" in f.columns else F.lit(a)
                 cols = [name.alias("attribute") if k == "attribute" else q(k).cast(self._ddl(k)).alias(k) for k in key]
-                frames.append(f.select(*cols, *flags, q("breakpoint").isNotNull().alias("__curve"), F.lit(d).alias("depth"), F.lit(layer.id).alias("layer")))
-        packs = ["depth", "layer", "varies", "broadcast", "breakpoints"]
+                bits = [F.when(q(x).isNotNull(), 1 << 2 * n).otherwise(2 << 2 * n) for n, x in enumerate(s.dimensions)]
+                flags = sum(bits, F.when(q("breakpoint").isNotNull(), 1 << 2 * len(s.dimensions)).otherwise(0)).cast("bigint")
+                frames.append(f.select(*cols, flags.alias("__flags"), F.lit(d).cast("bigint").alias("depth")))
         won = None
         if frames:
             rows = expand(union_by_name(frames), s.input_dims, self.axes)
-            some = lambda c: F.bool_or(c)
-            varies = F.struct(*[some(q(f"__has_{x}")).alias(x) for x in s.dimensions]) if s.dimensions else F.lit(None).cast("boolean")
-            broad = F.struct(*[some(~q(f"__has_{x}")).alias(x) for x in s.dimensions]) if s.dimensions else F.lit(None).cast("boolean")
-            own = rows.groupBy(*map(q, key), "depth", "layer").agg(varies.alias("varies"), broad.alias("broadcast"), some(F.col("__curve")).alias("breakpoints"))
-            won = own
+            own = rows.groupBy(*map(q, key), "depth").agg(F.bit_or("__flags").alias("__flags"))
+            won = own.select(*map(q, key), (F.shiftleft("depth", MASK_BITS) + F.col("__flags")).alias("__won"))
         if self.base:
             old = self.base.inputs if only is None else self.base.inputs.filter(q("attribute").isin(*only))
-            won = old if won is None else union_by_name([old, won])
+            old = old.select(*map(q, key), (F.shiftleft(F.col("depth").cast("bigint"), MASK_BITS) + _packed(s)).alias("__won"))
+            won = old if won is None else won.unionByName(old)
         if won is None:
-            cols = s.types_of([*key]) | {"depth": "INTEGER", "layer": "VARCHAR"}
-            none = empty(self.spark, cols)
-            nothing = F.struct(*[F.lit(None).cast("boolean").alias(x) for x in s.dimensions]) if s.dimensions else F.lit(None).cast("boolean")
-            return none.select("*", nothing.alias("varies"), nothing.alias("broadcast"), F.lit(None).cast("boolean").alias("breakpoints"))
-        best = won.groupBy(*map(q, key)).agg(F.max_by(F.struct(*packs), "depth").alias("__w"))
-        best = best.select(*map(q, key), *[F.col("__w").getField(p).alias(p) for p in packs])
+            won = empty(self.spark, s.types_of([*key])).withColumn("__won", F.lit(0).cast("bigint"))
+        best = won.groupBy(*map(q, key)).agg(F.max("__won").alias("__won"))
+        depth = F.shiftright("__won", MASK_BITS).cast("int")
+        bit = lambda n: F.shiftright("__won", n).bitwiseAND(1) == 1
+        ids = F.array(*[F.lit(x.id) for x in self.layers])
+        none = F.lit(None).cast("boolean")
+        each = [F.struct(*[bit(2 * n + k).alias(x) for n, x in enumerate(s.dimensions)]) if s.dimensions else none for k in (0, 1)]
+        best = best.select(*map(q, key), depth.alias("depth"), F.element_at(ids, depth + 1).alias("layer"), each[0].alias("varies"), each[1].alias("broadcast"), bit(2 * len(s.dimensions)).alias("breakpoints"))
         best = self._alive(best, self._dead_components, s.component_key)
         return self._alive(best, self._dead_connections, s.connection_key)
 
     def entity_map(self, kind: str) -> DataFrame:
         """(entity key, depth, layer, component_type, order_key) of members or connections."""
+        return self._once(kind, lambda: self._entity_map(kind))
+
+    def _entity_map(self, kind: str) -> DataFrame:
         s = self.schema
         key, dims = (s.component_key, s.component_dims) if kind == "components" else (s.connection_key, s.connection_dims)
         frames = []
@@ -183,8 +210,6 @@ class Resolver:
     def maps(self) -> Maps:
         return Maps(len(self.layers) - 1, self.inputs_map(), self.entity_map("components"), self.entity_map("connections"), {d: a.withColumn("_row", F.col("_pos")).drop("_pos") for d, a in self.axes.items()})
 
-    # -- reads --------------------------------------------------------------------------------
-
     def attribute_names(self) -> tuple[str, ...]:
         rows = self.inputs_map().select("attribute").distinct().collect()  # names of attributes
         return tuple(sorted(r.attribute for r in rows))

@@ -52,8 +52,8 @@ def write_record(store: Store, source, *, revision: str | None = None, uri: str
 
     Nothing is replaced: an existing place raises FileExistsError.  Frames are checked, cast and
     written beside the place one by one, each looked up once, and renamed into it as the last act;
-    a failure leaves neither a layer nor a changed schema.  Member and axis files are one part each,
-    as their row order is data; outputs appear only where there are any.
+    a failure leaves neither a layer nor a changed schema.  Member and axis files keep their row order,
+    over parts too, as it is data; outputs appear only where there are any.
     """
     if (revision is None) == (uri is None):
         raise ValueError("give either a revision or a uri")
@@ -103,10 +103,8 @@ def write_record(store: Store, source, *, revision: str | None = None, uri: str
 
 
 def _file(df: DataFrame, uri: str, in_order: bool) -> None:
-    """Members and axes keep their row order in one part; long rows keep their parallelism."""
-    if in_order and "_row" not in df.columns:
-        df.coalesce(1).write.parquet(uri)
-    elif in_order:
-        df.orderBy("_row").drop("_row").coalesce(1).write.parquet(uri)
-    else:
-        df.write.parquet(uri)
+    """Parts are written side by side.  Members and axes are sorted into them, so that the parts'
+    names and the rows' places in them give the order back."""
+    if in_order and "_row" in df.columns:
+        df = df.orderBy("_row").drop("_row")
+    df.write.parquet(uri)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.frames import anti, ordered, q, union_by_name
-from lamina.functions.settle import settled
+from lamina.functions.settle import settled, shared_folder
 from lamina.operators.axes import expand, fold_axis
 from lamina.operators.edit import WorkingRecord
 from lamina.operators.record import LayeredRecord, default_fill
@@ -353,11 +353,9 @@ def flatten_directory_whole(spark, sf):
 
 def shared_root(spark) -> str:
     """A new folder in what the cluster shares."""
-    import tempfile
     import uuid
 
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='lamina-')).rstrip('/')}/store-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
 @query("SELECT k AS name, count(DISTINCT t) AS types FROM (SELECT c_nationkey AS k, 'Customer' AS t FROM customer UNION ALL SELECT s_nationkey, 'Supplier' FROM supplier UNION ALL SELECT n_nationkey + 10, 'Nation' FROM nation) GROUP BY ALL HAVING count(DISTINCT t) > 1")

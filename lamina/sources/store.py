@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions.frames import cast_declared, union_by_name
 from lamina.functions.frames import q as _q
+from lamina.operators.axes import ORDER_SHIFT
 from lamina.operators.resolve import Maps
 from lamina.schema import Schema, SchemaError
 from lamina.sources.layers import Frames, Layer
@@ -56,10 +57,12 @@ class Files:
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(tmp, p):
-            raise OSError(f"cannot rename to {uri}")
+        # one step: at no time is there no file, as a crash between two would leave
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf)
+        over = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        how = self._jvm.java.lang.reflect.Array.newInstance(over.getClass(), 1)
+        how[0] = over
+        context.rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
 
     def rename(self, a: str, b: str) -> None:
         fs, p = self._at(a)
@@ -80,7 +83,13 @@ def read_frame(spark: SparkSession, uri: str, *, rows: bool = False) -> DataFram
         return df
     if "_row" in df.columns:
         return df
-    return df.select("*", F.col("_metadata.row_index").alias("_row"))
+    parts = [n for n in Files(spark).names(uri) if n.endswith(".parquet")]
+    row = F.col("_metadata.row_index")
+    if len(parts) > 1:
+        # by part, then by place in it; 40 bits hold both
+        nth = F.array_position(F.array(*map(F.lit, parts)), F.col("_metadata.file_name")) - 1
+        row = F.shiftleft(nth, ORDER_SHIFT - (len(parts) - 1).bit_length()) + row
+    return df.select("*", row.alias("_row"))
 
 
 def read_json(files: Files, uri: str) -> dict | None:
@@ -141,16 +150,12 @@ class Store:
         self._tree: dict[str, str | None] | None = None
         self._records: dict[str, object] = {}
 
-    # -- paths --------------------------------------------------------------------------------
-
     def layer_uri(self, id: str) -> str:
         return f"{self.root}/layers/{id}"
 
     def resolved_uri(self, id: str) -> str:
         return f"{self.layer_uri(id)}/resolved"
 
-    # -- schema -------------------------------------------------------------------------------
-
     @property
     def schema(self) -> Schema:
         text = self.files.read(f"{self.root}/manifest.json")
@@ -165,8 +170,6 @@ class Store:
         if old and (why := old.compatible_with(schema)):
             raise SchemaError("; ".join(why))
 
-    # -- revisions ----------------------------------------------------------------------------
-
     def _revisions(self) -> dict[str, str | None]:
         if self._tree is None:
             self._tree = {}
@@ -204,8 +207,6 @@ class Store:
             at = self.get(at).parent
         return out[::-1]
 
-    # -- reading ------------------------------------------------------------------------------
-
     def layer(self, id: str, schema: Schema | None = None) -> Layer:
         return read_layer(self.spark, self.files, self.layer_uri(id), schema or self.schema, id)
 
@@ -218,15 +219,15 @@ class Store:
             schema, chain = self.schema, self.ancestry(id)
             layers = [self.layer(x, schema) for x in chain]
             base = next((b for k in range(len(chain) - 1, -1, -1) if (b := self._cached(chain[k], k, layers, schema)) is not None), None)
-            self._records[id] = LayeredRecord(Resolver(self.spark, schema, layers, base), self)
+            self._records[id] = LayeredRecord(Resolver(self.spark, schema, layers, base, keep=True), self)
         return self._records[id]
 
     def forget(self) -> None:
-        """Drop kept records, as after a schema change."""
+        """Drop kept records and their maps, as after a schema change."""
+        for r in self._records.values():
+            r.resolver.release()
         self._records.clear()
 
-    # -- materialised maps --------------------------------------------------------------------
-
     def materialised(self, id: str) -> bool:
         return self.files.exists(f"{self.resolved_uri(id)}/owner_map/done.json")
 
