@@ -52,15 +52,22 @@ def melt(wide: DataFrame, ids: Sequence[str], values: Sequence[str], attribute:
     return wide.unpivot(list(map(q, ids)), list(map(q, values)), attribute, value)
 
 
-def stack_series(wide: DataFrame, snapshot: str, attribute: str) -> DataFrame:
-    """A series frame (one column a member) to long rows."""
-    names = [c for c in wide.columns if c != snapshot]
-    return wide.unpivot([q(snapshot)], list(map(q, names)), "name", "value").withColumn("attribute", F.lit(attribute))
+def stack_series(wide: DataFrame, index: str | Sequence[str], attribute: str, key: Sequence[str] = ("name",)) -> DataFrame:
+    """A series frame (one column a member, or a member and its labels of ``key[1:]``) to long rows."""
+    index = [index] if isinstance(index, str) else list(index)
+    names = [c for c in wide.columns if c not in index]
+    rows = wide.unpivot(list(map(q, index)), list(map(q, names)), "name", "value")
+    if len(key) > 1:
+        parts = F.split("name", SEPARATOR, -1)
+        label = lambda k: F.when(F.get(parts, F.lit(k)) != "", F.get(parts, F.lit(k)))
+        rows = rows.select(*map(q, index), *[label(k).alias(c) for k, c in enumerate(key)], "value")
+    return rows.withColumn("attribute", F.lit(attribute))
 
 
-def scalar_rows(members: DataFrame, attribute: str, snapshot: str, kind: str = "timestamp_ntz") -> DataFrame:
-    """A member column to long rows that hold for every label."""
-    return members.select("name", F.lit(None).cast(kind).alias(snapshot), F.lit(attribute).alias("attribute"), q(attribute).alias("value"))
+def scalar_rows(members: DataFrame, attribute: str, snapshot: str, kind: str = "timestamp_ntz", column: str | None = None) -> DataFrame:
+    """A member column to long rows that hold for every label of ``snapshot``; scenarios stay apart."""
+    more = [q("scenario")] if "scenario" in members.columns else []
+    return members.select("name", *more, F.lit(None).cast(kind).alias(snapshot), F.lit(attribute).alias("attribute"), q(column or attribute).alias("value"))
 
 
 def drop_defaults(rows: DataFrame, default) -> DataFrame:
@@ -79,22 +86,27 @@ def numbered_ports(connections: DataFrame, key: Sequence[str] = ("name",), order
 
 
 def ports_pivot(connections: DataFrame, most: int | None = None, key: Sequence[str] = ("name",), order: str = "order_key", values: Sequence[str] = ()) -> DataFrame:
-    """One row a member with ``bus0``, ``bus1`` ... (a lone attached port is plain ``bus``) and each
-    of ``values`` by port."""
-    ports = numbered_ports(connections, key, order)
+    """One row a ``key`` with ``bus0``, ``bus1`` ... (a lone attached port is plain ``bus``) and each
+    of ``values`` by port.  Connections that have a ``port`` already keep it."""
+    ports = connections if "port" in connections.columns else numbered_ports(connections, key, order)
     if most is None:
         most = (ports.agg(F.max("port")).first()[0] or 0) + 1  # one number
     lone = (q("ports") == 1) & (q("role") == "attached")
-    cols = [F.max(F.when(lone, q("bus"))).alias("bus")]
-    cols += [F.max(F.when(~lone & (q("port") == k), q("bus"))).alias(f"bus{k}") for k in range(most)]
-    for v in values:
-        cols += [F.max(F.when(q("port") == k, q(v))).alias(port_attribute(v, k)) for k in range(most)]
+    cols = []
+    for v in ("bus", *values):
+        if v == "bus":
+            cols.append(F.max(F.when(lone, q(v))).alias(v))
+            cols += [F.max(F.when(~lone & (q("port") == k), q(v))).alias(f"bus{k}") for k in range(most)]
+        else:
+            # a lone port and port 1 share the plain name
+            cols.append(F.max(F.when(lone | (q("port") == 1), q(v))).alias(v))
+            cols += [F.max(F.when(~lone & (q("port") == k), q(v))).alias(port_attribute(v, k)) for k in range(most) if k != 1]
     return ports.groupBy(*map(q, key)).agg(*cols)
 
 
 def port_attribute(attribute: str, port: int) -> str:
-    """``efficiency`` on port 1 and before, ``efficiency2`` on port 2."""
-    return attribute if port < 2 else f"{attribute}{port}"
+    """``efficiency`` on port 1, ``efficiency0`` and ``efficiency2`` on the others."""
+    return attribute if port == 1 else f"{attribute}{port}"
 
 
 def port_role(port: int) -> str:
@@ -103,9 +115,14 @@ def port_role(port: int) -> str:
 
 def ports_unpivot(members: DataFrame, ports: Mapping[str, str]) -> DataFrame:
     """Connection rows (name, bus, role) of port columns ``{column: role}``; empty ports give none."""
-    return union_by_name([members.select("name", q(c).alias("bus"), F.lit(r).alias("role")).filter(q("bus").isNotNull() & (q("bus") != "")) for c, r in ports.items()])
+    more = [q("scenario")] if "scenario" in members.columns else []
+    return union_by_name([members.select("name", q(c).alias("bus"), F.lit(r).alias("role"), *more).filter(q("bus").isNotNull() & (q("bus") != "")) for c, r in ports.items()])
 
 
-def port_attribute_rows(members: DataFrame, attribute: str, ports: Mapping[int, str]) -> DataFrame:
-    """Long rows of one attribute over its port columns: ``{port: bus column}`` names each row's bus."""
-    return union_by_name([members.select("name", q(bus).alias("bus"), F.lit(attribute).alias("attribute"), q(port_attribute(attribute, k)).alias("value")) for k, bus in ports.items() if port_attribute(attribute, k) in members.columns]).filter(q("value").isNotNull())
+def port_attribute_rows(members: DataFrame, attribute: str, ports: Mapping[int | None, str]) -> DataFrame | None:
+    """Long rows of one attribute over its port columns: ``{port: bus column}`` names each row's bus, a
+    lone port is None; None where the members have no such column."""
+    more = [q("scenario")] if "scenario" in members.columns else []
+    held = [(bus, attribute if k is None else port_attribute(attribute, k)) for k, bus in ports.items()]
+    rows = [members.select("name", q(bus).alias("bus"), *more, F.lit(attribute).alias("attribute"), q(c).alias("value")) for bus, c in held if c in members.columns and bus in members.columns]
+    return union_by_name(rows).filter(q("value").isNotNull() & q("bus").isNotNull() & (q("bus") != "")).distinct() if rows else None

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.functions.frames import q, semi, union_by_name
+from lamina.functions.frames import R, cast_declared, matches, q, semi, union_by_name, with_missing
+from lamina.functions.types import ddl
 from lamina.operators.axes import expand
-from lamina.operators.reshape import drop_defaults, ports_pivot, scalar_rows, series_pivot, stack_series, static_assign
-from lamina.operators.write import check_unique
+from lamina.operators.reshape import SEPARATOR, drop_defaults, numbered_ports, port_attribute, port_attribute_rows, port_role, ports_pivot, ports_unpivot, scalar_rows, series_pivot, stack_series, static_assign
+from lamina.operators.write import ambiguous_names, check_unique
 from lamina.schema import AttributeSpec, Dimension, Schema
-from lamina.sources.layers import EMPTY, Layer
+from lamina.sources.layers import Layer
+
+#: Declared types by the type that a frame's column has.
+STORED = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}
 
 
 class UnsupportedRecordError(ValueError):
@@ -26,17 +30,18 @@ class Requirements:
     """What a record lacks or has too much of; falsy when a tool can take it."""
 
     missing_dims: frozenset[str] = frozenset()
-    unsupported_keys: frozenset[str] = frozenset()
+    unsupported_keys: frozenset[tuple[str, str]] = frozenset()
     unknown_types: frozenset[str] = frozenset()
     curves: frozenset[tuple[str, str]] = frozenset()
     missing_attributes: frozenset[tuple[str, str]] = frozenset()
     unsupported_dims: frozenset[tuple[str, str]] = frozenset()
+    names: frozenset[str] = frozenset()
 
     def __bool__(self) -> bool:
         return any(vars(self).values())
 
     def describe(self) -> str:
-        words = {"missing_dims": "axes without labels", "unsupported_keys": "dims that may not key entities", "unknown_types": "unknown types", "curves": "curves where a number is needed", "missing_attributes": "attributes without a value", "unsupported_dims": "attributes along dims they may not have"}
+        words = {"missing_dims": "axes without labels", "unsupported_keys": "dims that may not be keys", "names": "names of several types", "unknown_types": "unknown types", "curves": "curves where a number is needed", "missing_attributes": "attributes without a value", "unsupported_dims": "attributes along dims they may not have"}
         return "; ".join(f"{words[k]}: {', '.join('.'.join(x) if isinstance(x, tuple) else x for x in sorted(v))}" for k, v in vars(self).items() if v)
 
 
@@ -93,6 +98,7 @@ class Given:
     varying: bool = False
     dtype: str = "DOUBLE"
     curve: bool = False
+    connection: bool = False
 
 
 @dataclass
@@ -104,14 +110,26 @@ class Network:
     series: dict[str, dict[str, DataFrame]]
     outputs: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
     connections: dict[str, DataFrame] = field(default_factory=dict)
+    _found: dict[str, bool] = field(default_factory=dict)
 
     @property
     def stochastic(self) -> bool:
-        return "scenario" in self.axes
+        """Whether there are scenarios; series frames then have a column a member and scenario."""
+        return self._present("scenario")
 
     @property
     def multiperiod(self) -> bool:
-        return "period" in self.axes
+        """Whether there are periods; series frames then have a row a period and snapshot."""
+        return self._present("period")
+
+    def _present(self, dim: str) -> bool:
+        if dim not in self._found:
+            self._found[dim] = dim in self.axes and not self.axes[dim].isEmpty()
+        return self._found[dim]
+
+    @property
+    def key(self) -> tuple[str, ...]:
+        return ("name", "scenario") if self.stochastic else ("name",)
 
 
 class NetworkTool:
@@ -124,13 +142,14 @@ class NetworkTool:
         """The record schema that the registry implies."""
         dims = {self.snapshot: Dimension("TIMESTAMP"), "period": Dimension("BIGINT"), "scenario": Dimension("VARCHAR", keys=frozenset({"component", "connection"}))}
         every = frozenset(dims)
-        attrs = {t: {a: AttributeSpec(g.dtype, g.default, every if g.varying else frozenset(), g.curve) for a, g in own.items() if not g.output} for t, own in self.registry.items()}
+        attrs = {t: {a: AttributeSpec(g.dtype, g.default, every if g.varying else frozenset(), g.curve, "connection" if g.connection else "component") for a, g in own.items() if not g.output} for t, own in self.registry.items()}
         return Schema(dims, attrs, frozenset({"scenario"}))
 
     def verify(self, record) -> Requirements:
         """Everything that stands in the way of ``build``; no value is read but through flags."""
         missing = frozenset({self.snapshot} - set(record.dims))
-        keys = frozenset(d for d, s in record.schema.dimensions.items() if s.keys and d not in self.honoured)
+        had = {"component_key": record.schema.component_dims, "connection_key": record.schema.connection_dims}
+        keys = frozenset((k, d) for k, dims in had.items() for d in dims if d not in self.honoured)
         if keys:
             return Requirements(missing, keys)
         unknown, curves, absent, odd = set(), set(), set(), set()
@@ -149,62 +168,141 @@ class NetworkTool:
                 declared = record.schema.attributes.get(t, {}).get(a)
                 if g.required and not g.output and not own and a not in have and g.default is None and (declared is None or declared.default is None):
                     absent.add((t, a))
-        return Requirements(missing, keys, frozenset(unknown), frozenset(curves), frozenset(absent), frozenset(odd))
+        members = dict(record.components.items())
+        names = [r.name for r in ambiguous_names(members).limit(100).collect()] if len(members) > 1 else []  # a few for the message
+        return Requirements(missing, keys, frozenset(unknown), frozenset(curves), frozenset(absent), frozenset(odd), frozenset(names))
 
     def build(self, record) -> Network:
+        """Per type a static frame a member (and scenario), and a series frame an attribute that varies.
+
+        Ports are numbered per member and per label of the dims that key connections.  An attribute of
+        connections has a column, or a series frame, a port.
+        """
         if why := self.verify(record):
             raise UnsupportedRecordError(why.describe())
-        net = Network({d: a for d, a in record.dims.items()}, {}, {})
-        axes = dict(record.dims.items())
+        net = Network(dict(record.dims.items()), {}, {})
         for t in sorted(record.components):
             members = record.components[t]
-            if t in record.connections:
-                net.connections[t] = record.connections[t]
-                links = record.connections[t]
-                if "order_key" not in links.columns:
-                    links = links.withColumn("order_key", F.lit(0))
-                ports = ports_pivot(links)
-                members = members.join(ports, "name", "left")
-            flags, static, series = record.flags(t), {}, {}
+            if not net.stochastic and "scenario" in members.columns:
+                members = members.drop("scenario")
+            flags, flat, series = record.flags(t), {}, {}
+            links = self._numbered(record, net, t)
+            at = [c for c in ("name", "scenario") if links is not None and c in links.columns]
+            on_ports = []
             for a, g in self.registry[t].items():
-                if g.output or not any(s in flags for s in self.schema.sources(a)):
-                    continue
-                rows = self.schema.resolve(record.attributes, a)
+                known = [flags[s] for s in self.schema.sources(a) if s in flags]
+                rows = self.schema.resolve(record.attributes, a) if known and not g.output else None
                 if rows is None:
                     continue
                 rows = semi(rows, record.components[t].select("name"), ["name"])
-                static[a] = rows
-                if any(self.snapshot in flags[s].varies for s in self.schema.sources(a) if s in flags):
-                    index = [d for d in ("period",) if d in axes and any(d in flags[s].varies for s in self.schema.sources(a) if s in flags)]
-                    key = ["name", *[d for d in ("scenario",) if d in axes]]
-                    live = expand(rows, [*index, *key[1:]], axes)
-                    axis = axes[self.snapshot]
-                    series[a] = series_pivot(live, [*index, self.snapshot], key=key) if index else series_pivot(live, [self.snapshot], key=key).join(axis.select(q(self.snapshot)), self.snapshot, "right").orderBy(self.snapshot)
+                moves = any(self.snapshot in f.varies for f in known)
+                if g.connection and links is not None:
+                    own = rows.filter(q("bus").isNotNull())
+                    links = static_assign(links, {a: own}, self.snapshot, ("name", "bus", *at[1:]))
+                    on_ports.append(a)
+                    if moves:
+                        series |= self._by_port(own, links, at, a, net)
+                    rows = rows.filter(q("bus").isNull())
+                    if a not in members.columns:
+                        continue
+                flat[a] = rows
+                if moves:
+                    series[a] = self._wide(rows, net)
             key = ("name", *[d for d in record.schema.component_dims if d in members.columns])
-            order = [c for c in ("order_key", "name") if c in members.columns][:1]
-            net.static[t] = static_assign(members, static, self.snapshot, key).orderBy(*order)
-            net.series[t] = series
+            static = static_assign(members, flat, self.snapshot, key)
+            if links is not None:
+                wide = ports_pivot(links, key=at, values=on_ports)
+                wide = wide.select(*[q(c).alias(R + c) if c in at else q(c) for c in wide.columns])
+                got = static.join(wide, matches([c for c in at if c in static.columns]), "left")
+                new = [c for c in wide.columns if c not in (R + "name", R + "scenario")]
+                static = got.select(*[static[c] for c in static.columns if c not in new], *[F.coalesce(wide[c], static[c]).alias(c) if c in static.columns else wide[c] for c in new])
+            order = [c for c in ("order_key", "name") if c in static.columns][:1]
+            net.static[t], net.series[t] = static.orderBy(*order), series
         return net
 
+    def _numbered(self, record, net: Network, ctype: str) -> DataFrame | None:
+        """A type's connections with their ports, and in the network as they were."""
+        if ctype not in record.connections:
+            return None
+        links = net.connections[ctype] = record.connections[ctype]
+        if not net.stochastic and "scenario" in links.columns:
+            links = links.drop("scenario").distinct()
+        if "order_key" not in links.columns:
+            links = links.withColumn("order_key", F.monotonically_increasing_id())
+        return numbered_ports(links, [c for c in ("name", "scenario") if c in links.columns])
+
+    def _by_port(self, rows: DataFrame, links: DataFrame, at: list[str], attribute: str, net: Network) -> dict[str, DataFrame]:
+        ends = links.select(*[q(c).alias(R + c) for c in ("bus", *at)], "port", ((q("ports") == 1) & (q("role") == "attached")).alias("lone"))
+        placed = rows.filter(q(self.snapshot).isNotNull()).join(ends, matches(["bus", "name"], [c for c in at[1:] if c in rows.columns]))
+        named = placed.select(*[q(c) for c in rows.columns], F.when(q("lone"), 1).otherwise(q("port")).alias("port"))
+        ports = sorted(r.port for r in named.select("port").distinct().collect())  # numbers of ports
+        return {port_attribute(attribute, k): self._wide(named.filter(q("port") == k).drop("port"), net) for k in ports}
+
+    def _wide(self, rows: DataFrame, net: Network) -> DataFrame:
+        """A column a member (and scenario) that has labelled rows; a row for every label, in axis order."""
+        index = [*(["period"] if net.multiperiod else []), self.snapshot]
+        axes = {d: net.axes[d] for d in ("period", "scenario") if net._present(d)}
+        live = expand(rows.filter(q(self.snapshot).isNotNull()), list(axes), axes)
+        grid = net.axes[self.snapshot]
+        if net.multiperiod and "period" not in grid.columns:
+            grid = net.axes["period"].select("period", F.monotonically_increasing_id().alias("__p")).crossJoin(grid.select(q(self.snapshot), F.monotonically_increasing_id().alias("__s"))).orderBy("__p", "__s")
+        return series_pivot(live, index, key=net.key, axis=grid.select(*map(q, index)).withColumn("_pos", F.monotonically_increasing_id()))
+
     def results(self, model: Network) -> dict[str, DataFrame]:
         """Long rows of each output attribute over all types; rows equal to the default are left out."""
         found: dict[str, list[DataFrame]] = {}
         for t, own in model.outputs.items():
             for a, wide in own.items():
-                found.setdefault(a, []).append(drop_defaults(stack_series(wide, self.snapshot, a), self.registry[t][a].default))
+                found.setdefault(a, []).append(self._long(wide, a, model, self.registry[t][a].default))
         return {a: union_by_name(frames) for a, frames in sorted(found.items())}
 
+    def _long(self, wide: DataFrame, attribute: str, model: Network, default, key: tuple[str, ...] | None = None) -> DataFrame:
+        index = [c for c in ("period", self.snapshot) if c in wide.columns]
+        key = key or (model.key if any(SEPARATOR in c for c in wide.columns) else ("name",))
+        return drop_defaults(stack_series(wide, index, attribute, key).filter(q("value").isNotNull()), default)
+
     def to_record(self, model: Network) -> tuple[Schema, Layer]:
-        """A model as one layer: static columns stay with members, series become long rows."""
+        """A model as one layer: fixed columns stay with members, what varies becomes long rows.
+
+        Port columns become connections, and their attributes rows with the port's bus.
+        """
         schema = self.requires()
-        members = {t: f.drop("order_key").withColumn("component_type", F.lit(t)) for t, f in model.static.items()}
-        check_unique(members)
-        inputs: dict[str, list[DataFrame]] = {}
-        for t, own in model.series.items():
-            for a, wide in own.items():
-                inputs.setdefault(a, []).append(drop_defaults(stack_series(wide, self.snapshot, a), self.registry[t][a].default))
-        for t, f in members.items():
-            for a, g in self.registry[t].items():
-                if g.varying and a in f.columns and not g.output:
-                    inputs.setdefault(a, []).append(drop_defaults(scalar_rows(f, a, self.snapshot), g.default).filter(q("value").isNotNull()))
-        return schema, Layer("imported", model.axes, members, model.connections or EMPTY, {a: union_by_name(x) for a, x in inputs.items()})
+        kinds = {d: STORED.get(model.axes[d].schema[d].dataType.simpleString(), s.dtype) for d, s in schema.dimensions.items() if d in model.axes}
+        schema = replace(schema, dimensions={d: replace(s, dtype=kinds.get(d, s.dtype)) for d, s in schema.dimensions.items()})
+        check_unique({t: f for t, f in model.static.items()})
+        kind = ddl(schema.dimensions[self.snapshot].dtype)
+        members, links, inputs = {}, dict(model.connections), {}
+        for t, static in model.static.items():
+            own = self.registry[t]
+            buses = {None if c == "bus" else int(c[3:]): c for c in static.columns if c == "bus" or (c.startswith("bus") and c[3:].isdigit())}
+            if t not in links and buses:
+                links[t] = ports_unpivot(static, {c: "attached" if k is None else port_role(k) for k, c in buses.items()})
+            gone = {*buses.values(), "order_key"}
+            for a, g in own.items():
+                if g.output:
+                    continue
+                if g.connection:
+                    columns = {port_attribute(a, k or 1): c for k, c in buses.items() if k is None} | {port_attribute(a, k): c for k, c in buses.items() if k is not None}
+                    gone |= {*columns, a}
+                    flat = port_attribute_rows(static, a, buses)
+                    rows = [flat] if flat is not None else []
+                    for column, bus in columns.items():
+                        if column in model.series.get(t, {}):
+                            on = [c for c in model.key if c in static.columns]
+                            long = self._long(model.series[t][column], a, model, g.default, model.key)
+                            ends = static.select(*[q(c).alias(R + c) for c in on], q(bus).alias("bus"))
+                            rows.append(long.join(ends, matches(on)).select(*map(q, long.columns), "bus"))
+                    for r in rows:
+                        inputs.setdefault(a, []).append(drop_defaults(r, g.default))
+                elif g.varying:
+                    if a in static.columns:
+                        gone.add(a)
+                        inputs.setdefault(a, []).append(drop_defaults(scalar_rows(static, a, self.snapshot, kind), g.default).filter(q("value").isNotNull()))
+                    if a in model.series.get(t, {}):
+                        inputs.setdefault(a, []).append(self._long(model.series[t][a], a, model, g.default, model.key))
+            members[t] = static.drop(*gone).withColumn("component_type", F.lit(t))
+        long = {}
+        for a, frames in inputs.items():
+            types = schema.types_of(["name", "bus", *schema.dimensions, "attribute", "breakpoint"]) | {"value": schema.value_type(a)}
+            long[a] = union_by_name([cast_declared(with_missing(f, types), types).select(*map(q, schema.long_columns)) for f in frames])
+        return schema, Layer("imported", model.axes, members, {t: f.drop("port", "ports", "order_key") for t, f in links.items()}, long)
