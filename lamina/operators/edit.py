@@ -110,14 +110,14 @@ class WorkingRecord:
         full = with_missing(rows, types).withColumn("attribute", F.lit(attribute))
         # only a value may fail its cast: a label that became NULL would mean every label
         full = strict(full, {c: t for c, t in types.items() if c != "value"})
-        full = full.select(*[q(c) if c != "value" else q(c).try_cast(_ddl(types[c])).alias(c) for c in s.long_columns], q("_nth") if "_nth" in full.columns else _place())
+        full = full.select(*[q(c) if c != "value" else q(c).try_cast(_ddl(types[c])).alias(c) for c in s.row_columns], q("_nth") if "_nth" in full.columns else _place())
         self._seq += 1
         self._values.append((self._seq, kind, attribute, full))
         self._now = None
 
     def _stage_entities(self, kind: str, ctype: str, rows: DataFrame, deleted: bool) -> None:
         s = self.schema
-        key = s.component_key if kind == "components" else s.connection_key
+        key = s.member_key if kind == "components" else s.link_key
         rows = strict(with_missing(rows.drop("component_type", "deleted"), s.types_of(key)), s.types_of(key))
         if "_nth" not in rows.columns:
             rows = rows.withColumn("_nth", _place())
@@ -153,7 +153,7 @@ class WorkingRecord:
 
     def names_declaring(self, attribute: str) -> DataFrame:
         """Names of the live members whose type declares the attribute."""
-        types = list(self.schema.types_declaring(attribute))
+        types = list(self.schema.types_with(attribute))
         return self._resolver.entity_map("components").filter(q("component_type").isin(types)).select("name").distinct()
 
     def set(self, attribute: str, value: Any, *, names: Sequence[str] | str | None = None, bus: str | None = None, kind: str = "inputs", **dims: Any) -> None:
@@ -187,7 +187,7 @@ class WorkingRecord:
 
     def _free_axis(self, attribute: str, dims: Mapping[str, Any]) -> str | None:
         spec = self.schema.spec(attribute)
-        open_ = [d for d in (*self.schema.whole_dims, *self.schema.input_dims) if spec is not None and d in spec.dims and d not in dims and d in self._resolver.axes]
+        open_ = [d for d in (*self.schema.whole_dims, *self.schema.split_dims) if spec is not None and d in spec.dims and d not in dims and d in self._resolver.axes]
         return open_[0] if open_ else None
 
     def _scoped(self, rows: DataFrame, bus: str | None, dims: Mapping[str, Any]) -> DataFrame:
@@ -248,7 +248,7 @@ class WorkingRecord:
         varying = [c for c in rows.columns if c in own and own[c].varying]
         linked = [c for c in rows.columns if c in own and own[c].bus == "connection" and not own[c].varying]
         dims = [d for d in self.schema.dimensions if d in rows.columns]
-        key = [d for d in self.schema.component_dims if d in rows.columns]
+        key = [d for d in self.schema.member_dims if d in rows.columns]
         member = [c for c in rows.columns if c not in (*varying, *linked, "bus", "role", *[d for d in dims if d not in key])]
         rows = rows.withColumn("_nth", _place())
         self._stage_entities("components", ctype, _first_places(rows.select(*map(q, member), "_nth")), False)
@@ -257,17 +257,17 @@ class WorkingRecord:
             values = rows.filter(q(a).isNotNull()).select("name", *extra, *[q(d) for d in dims if d in own[a].dims], q(a).alias("value"), "_nth")
             self._stage_values("inputs", a, _first_places(values))
         if "bus" in rows.columns:
-            cols = ["name", "bus", *[c for c in ("role",) if c in rows.columns], *[d for d in self.schema.connection_dims if d in rows.columns], *linked]
+            cols = ["name", "bus", *[c for c in ("role",) if c in rows.columns], *[d for d in self.schema.link_dims if d in rows.columns], *linked]
             self.connect(ctype, _first_places(rows.select(*map(q, cols), "_nth")))
 
-    def remove(self, ctype: str, names: Sequence[str] | str, **component_dims: Any) -> None:
+    def remove(self, ctype: str, names: Sequence[str] | str, **member_dims: Any) -> None:
         """Stage tombstones, in the given scope of component dims or everywhere."""
-        beyond = [d for d in component_dims if d not in self.schema.component_dims]
+        beyond = [d for d in member_dims if d not in self.schema.member_dims]
         if beyond:
             raise RecordError(f"components are not keyed by {beyond}")
         names = [names] if isinstance(names, str) else list(names)
         rows = ingest(self.spark, [{"name": n} for n in names], {"name": "VARCHAR"})
-        self._stage_entities("components", ctype, self._scoped(rows, None, component_dims), True)
+        self._stage_entities("components", ctype, self._scoped(rows, None, member_dims), True)
 
     def connect(self, ctype: str, frame) -> None:
         rows = ingest(self.spark, frame)
@@ -276,12 +276,12 @@ class WorkingRecord:
                 raise RecordError(f"connections need {c}")
         self._stage_entities("connections", ctype, rows, False)
 
-    def disconnect(self, ctype: str, pairs: Sequence[tuple[str, str]], **connection_dims: Any) -> None:
-        beyond = [d for d in connection_dims if d not in self.schema.connection_dims]
+    def disconnect(self, ctype: str, pairs: Sequence[tuple[str, str]], **link_dims: Any) -> None:
+        beyond = [d for d in link_dims if d not in self.schema.link_dims]
         if beyond:
             raise RecordError(f"connections are not keyed by {beyond}")
         rows = ingest(self.spark, [{"name": n, "bus": b} for n, b in pairs], {"name": "VARCHAR", "bus": "VARCHAR"})
-        self._stage_entities("connections", ctype, self._scoped(rows, None, connection_dims), True)
+        self._stage_entities("connections", ctype, self._scoped(rows, None, link_dims), True)
 
     def pending_rows(self) -> DataFrame:
         """(kind, item, rows) of everything staged."""
@@ -304,7 +304,7 @@ class WorkingRecord:
 
     def collapsed_entities(self, kind: str) -> DataFrame | None:
         """The last staged row of each key, whatever its type; within a call the later row."""
-        key = self.schema.component_key if kind == "components" else self.schema.connection_key
+        key = self.schema.member_key if kind == "components" else self.schema.link_key
         frames = [f.withColumn("_seq", F.lit(n)) for n, k, _, f in self._entities if k == kind]
         return latest_per(union_by_name(frames), key, ["_seq", "_nth"]) if frames else None
 
@@ -315,7 +315,7 @@ class WorkingRecord:
         frames = [f.withColumn("_seq", F.lit(n)) for n, k, a, f in self._values if k == kind and a == attribute]
         rows = latest_per(union_by_name(frames), ["name", "bus", *s.dimensions, "attribute", "breakpoint"], ["_seq", "_nth"]).drop("_seq", "_nth")
         if kind == "inputs":
-            for k, key, dims in (("components", s.component_key, s.component_dims), ("connections", s.connection_key, s.connection_dims)):
+            for k, key, dims in (("components", s.member_key, s.member_dims), ("connections", s.link_key, s.link_dims)):
                 last = self.collapsed_entities(k)
                 if last is not None:
                     rows = anti(rows, last.filter("deleted"), [c for c in key if c not in dims], dims)
@@ -325,8 +325,8 @@ class WorkingRecord:
         """What the edited keys must repeat of the base, as a layer owns whole what it owns: the rows
         of their keys whose coordinate no staged row covers; a staged NULL covers every label."""
         s = self.schema
-        key = ["name", "bus", *s.input_dims]
-        owned = expand(staged.select(*map(q, key), *map(q, s.whole_dims)), s.input_dims, self._base.axes).distinct()
+        key = ["name", "bus", *s.split_dims]
+        owned = expand(staged.select(*map(q, key), *map(q, s.whole_dims)), s.split_dims, self._base.axes).distinct()
         rows = semi(self._base.attribute(attribute), owned, key)
         spec = s.spec(attribute)
         for d in s.whole_dims:

@@ -115,11 +115,11 @@ class DirectoryRecord:
 
     @property
     def components(self) -> Mapping[str, DataFrame]:
-        return self._by("component_type", self.layer.components, self.schema.types_of(["name", *self.schema.component_dims]))
+        return self._by("component_type", self.layer.components, self.schema.types_of(["name", *self.schema.member_dims]))
 
     @property
     def connections(self) -> Mapping[str, DataFrame]:
-        return self._by("component_type", self.layer.connections, self.schema.types_of(["name", "bus", *self.schema.connection_dims]))
+        return self._by("component_type", self.layer.connections, self.schema.types_of(["name", "bus", *self.schema.link_dims]))
 
     @property
     def attributes(self) -> Mapping[str, DataFrame]:

@@ -92,7 +92,7 @@ class Resolver:
             if self.base and dim in self.base.axes:
                 frames.insert(0, (0, self.base.axes[dim]))
             if frames:
-                key = [k for k in self.schema.axis_key(dim)]
+                key = [k for k in self.schema.label_key(dim)]
                 frames = [(d, cast_declared(with_missing(f, self.schema.types_of(key)), self.schema.types_of(key))) for d, f in frames]
                 out[dim] = fold_axis(frames, key)
         return out
@@ -125,11 +125,11 @@ class Resolver:
 
     @cached_property
     def _dead_components(self) -> DataFrame | None:
-        return self._deaths("components", self.schema.component_key, self.schema.component_dims)
+        return self._deaths("components", self.schema.member_key, self.schema.member_dims)
 
     @cached_property
     def _dead_connections(self) -> DataFrame | None:
-        return self._deaths("connections", self.schema.connection_key, self.schema.connection_dims)
+        return self._deaths("connections", self.schema.link_key, self.schema.link_dims)
 
     def inputs_map(self, attributes: Iterable[str] | None = None) -> DataFrame:
         """(input key, depth, layer, varies, broadcast, breakpoints); only key columns are read."""
@@ -139,7 +139,7 @@ class Resolver:
     def _inputs_map(self, only: frozenset[str] | None) -> DataFrame:
         """Two hash aggregates over numbers alone: flags are bits, or-ed for each key and layer; then
         the greatest (depth, flags) of each key wins."""
-        s, key = self.schema, self.schema.input_key
+        s, key = self.schema, self.schema.values_key
         frames = []
         for d, layer in self._new:
             for a in layer.inputs:
@@ -153,7 +153,7 @@ class Resolver:
                 frames.append(f.select(*cols, flags.alias("__flags"), F.lit(d).cast("bigint").alias("depth")))
         won = None
         if frames:
-            rows = expand(union_by_name(frames), s.input_dims, self.axes)
+            rows = expand(union_by_name(frames), s.split_dims, self.axes)
             own = rows.groupBy(*map(q, key), "depth").agg(F.bit_or("__flags").alias("__flags"))
             won = own.select(*map(q, key), (F.shiftleft("depth", MASK_BITS) + F.col("__flags")).alias("__won"))
         if self.base:
@@ -169,8 +169,8 @@ class Resolver:
         none = F.lit(None).cast("boolean")
         each = [F.struct(*[bit(2 * n + k).alias(x) for n, x in enumerate(s.dimensions)]) if s.dimensions else none for k in (0, 1)]
         best = best.select(*map(q, key), depth.alias("depth"), F.element_at(ids, depth + 1).alias("layer"), each[0].alias("varies"), each[1].alias("broadcast"), bit(2 * len(s.dimensions)).alias("breakpoints"))
-        best = self._alive(best, self._dead_components, s.component_key)
-        return self._alive(best, self._dead_connections, s.connection_key)
+        best = self._alive(best, self._dead_components, s.member_key)
+        return self._alive(best, self._dead_connections, s.link_key)
 
     def entity_map(self, kind: str) -> DataFrame:
         """(entity key, depth, layer, component_type, order_key) of members or connections."""
@@ -178,7 +178,7 @@ class Resolver:
 
     def _entity_map(self, kind: str) -> DataFrame:
         s = self.schema
-        key, dims = (s.component_key, s.component_dims) if kind == "components" else (s.connection_key, s.connection_dims)
+        key, dims = (s.member_key, s.member_dims) if kind == "components" else (s.link_key, s.link_dims)
         frames = []
         for d, layer in self._new:
             for t in getattr(layer, kind):
@@ -203,7 +203,7 @@ class Resolver:
         if kind == "components":
             return self._alive(best, self._dead_components, key)
         # keyed by fewer dims than components: a removal in any of the others removes the connection
-        shared = [k for k in s.component_key if k in key]
+        shared = [k for k in s.member_key if k in key]
         best = self._alive(best, self._dead_components, shared)
         return self._alive(best, self._dead_connections, key)
 
@@ -228,17 +228,17 @@ class Resolver:
         held = [(layer.id, layer.inputs[attribute]) for layer in self.layers if attribute in layer.inputs]
         types = s.types_of(["name", "bus", *s.dimensions, "attribute", "breakpoint"]) | {"value": s.value_type(attribute)}
         if not held:
-            return empty(self.spark, {c: types[c] for c in s.long_columns})
-        rows = union_by_name([cast_declared(with_missing(f, types | {"attribute": "VARCHAR"}), types).select(*map(q, s.long_columns), F.lit(i).alias("layer")) for i, f in held])
-        owner = renamed(self.inputs_map([attribute]).select("name", "bus", *map(q, s.input_dims), "layer"))
-        got = rows.join(owner, matches(["name", "bus", "layer"], s.input_dims), "inner")
-        pick = [F.coalesce(q(c), q(R + c)).alias(c) if c in s.input_dims else F.lit(attribute).alias(c) if c == "attribute" else q(c) for c in s.long_columns]
+            return empty(self.spark, {c: types[c] for c in s.row_columns})
+        rows = union_by_name([cast_declared(with_missing(f, types | {"attribute": "VARCHAR"}), types).select(*map(q, s.row_columns), F.lit(i).alias("layer")) for i, f in held])
+        owner = renamed(self.inputs_map([attribute]).select("name", "bus", *map(q, s.split_dims), "layer"))
+        got = rows.join(owner, matches(["name", "bus", "layer"], s.split_dims), "inner")
+        pick = [F.coalesce(q(c), q(R + c)).alias(c) if c in s.split_dims else F.lit(attribute).alias(c) if c == "attribute" else q(c) for c in s.row_columns]
         return got.select(*pick)
 
     def entities(self, kind: str, ctype: str) -> DataFrame:
         """Live members or connections of a type, wide, with ``order_key``."""
         s = self.schema
-        key, dims = (s.component_key, s.component_dims) if kind == "components" else (s.connection_key, s.connection_dims)
+        key, dims = (s.member_key, s.member_dims) if kind == "components" else (s.link_key, s.link_dims)
         frames = []
         for layer in self.layers:
             if ctype in getattr(layer, kind):

@@ -37,7 +37,7 @@ def check_unique(frames: Mapping[str, DataFrame]) -> None:
 
 
 def check_long(df: DataFrame, schema: Schema, attribute: str, strict: bool) -> None:
-    require_columns(df, schema.long_columns, f"attribute {attribute}")
+    require_columns(df, schema.row_columns, f"attribute {attribute}")
     spec = schema.spec(attribute)
     if strict and spec is not None:
         if not spec.breakpoints and df.filter(q("breakpoint").isNotNull()).limit(1).count():
@@ -69,9 +69,9 @@ def write_record(store: Store, source, *, revision: str | None = None, uri: str
         for dim, f in source.dims.items():
             if dim not in schema.dimensions:
                 raise SchemaError(f"axis {dim} is not declared")
-            require_columns(f, schema.axis_key(dim), f"axis {dim}")
+            require_columns(f, schema.label_key(dim), f"axis {dim}")
             _file(typed(f.drop("_pos"), schema), f"{stage}/dims/{dim}s.parquet", True)
-        for kind, key in (("components", schema.component_key), ("connections", schema.connection_key)):
+        for kind, key in (("components", schema.member_key), ("connections", schema.link_key)):
             written = {}
             for t, f in getattr(source, kind).items():
                 require_columns(f, key, f"{kind[:-1]} frame {t}")
@@ -86,7 +86,7 @@ def write_record(store: Store, source, *, revision: str | None = None, uri: str
             check_long(f, schema, a, strict)
             _file(typed(f, schema, value=schema.value_type(a)), f"{stage}/inputs/{a}.parquet", False)
         for a, f in source.outputs.items():
-            require_columns(f, schema.long_columns, f"output {a}")
+            require_columns(f, schema.row_columns, f"output {a}")
             _file(typed(f, schema), f"{stage}/outputs/{a}.parquet", False)
         if uri is not None:
             files.write(f"{stage}/manifest.json", schema.to_json())

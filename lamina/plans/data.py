@@ -147,7 +147,7 @@ def layers(spark: SparkSession, sf: str) -> list[Layer]:
     l2 = Layer("L2", components=lazy(Customer=lambda: removed(customers(t, "c_custkey % 97 = 0")).unionByName(removed(customers(t, "c_custkey % 89 = 0"), "low"))))
 
     def back() -> DataFrame:
-        new = spark.range(1).select(F.lit("C-new").alias("name"), F.lit("NEW").alias("segment"), F.lit(0.0).alias("acctbal"), F.col("id").alias("_row"))
+        new = spark.range(1).select(F.lit("C-new").alias("name"), F.lit("NEW").alias("segment"), F.lit(0.0).alias("acctbal"), F.lit(1 << 31).cast("bigint").alias("_row"))
         return customers(t, "c_custkey % 194 = 0").unionByName(new)
 
     def again() -> DataFrame:

@@ -15,7 +15,7 @@ from lamina.operators.record import LayeredRecord, default_fill
 from lamina.operators.reshape import drop_defaults, melt, ports_pivot, ports_unpivot, series_pivot, static_assign
 from lamina.operators.resolve import Resolver, flags_by_scan
 from lamina.operators.write import ambiguous_names
-from lamina.plans.data import SCHEMA, SQL, Tables, customers, layers, link_ends, long, months, name, pairs, resolved_sql, scenarios, stack
+from lamina.plans.data import SCHEMA, SQL, Tables, customers, layers, link_ends, long, months, name, pairs, resolved_sql, stack
 from lamina.plans.tool import Attr
 from lamina.schema import AttributeSpec, Dimension, Schema
 from lamina.sources.layers import Layer
@@ -58,9 +58,19 @@ def owner_map_inputs(spark, sf):
     return stack(spark, sf, 3).inputs_map(["demand"]).select("name", "scenario", "depth")
 
 
-@query(f"{resolved_sql(1)} {_ROWS} WHERE TRY_CAST(substr(name, 2) AS BIGINT) % 10 = 3")
+def _owned(spark, sf, upto: int) -> DataFrame:
+    """Who owns each name's demand in each scenario, and what it comes to."""
+    r = stack(spark, sf, upto)
+    sums = r.attribute("demand").groupBy("name", "scenario").agg(F.count("*").alias("row_count"), F.sum("value").alias("total"))
+    return sums.join(r.inputs_map(["demand"]).select("name", "scenario", "depth"), ["name", "scenario"])
+
+
+_OWNED = "SELECT name, scenario, depth, count(*) AS row_count, CAST(sum(value) AS BIGINT) AS total FROM resolved GROUP BY ALL"
+
+
+@query(f"{resolved_sql(1)} {_OWNED}")
 def partial_scenario_override(spark, sf):
-    return _demand(spark, sf, 1).filter("TRY_CAST(substr(name, 2) AS BIGINT) % 10 = 3")
+    return _owned(spark, sf, 1)
 
 
 @query(f"WITH {SQL} SELECT 'C' || custkey AS name, scenario, cents AS value FROM flat, scen")
@@ -75,15 +85,8 @@ def broadcast_kept_nonpartial(spark, sf):
     return _demand(spark, sf, 0).filter("snapshot IS NULL")
 
 
-@query(f"{resolved_sql(1)} SELECT name, scenario, count(*) AS row_count, count(snapshot) AS labels FROM resolved WHERE TRY_CAST(substr(name, 2) AS BIGINT) % 10 = 4 GROUP BY ALL")
-def series_owned_whole(spark, sf):
-    rows = _demand(spark, sf, 1).filter("TRY_CAST(substr(name, 2) AS BIGINT) % 10 = 4")
-    return rows.groupBy("name", "scenario").agg(F.count("*").alias("row_count"), F.count("snapshot").alias("labels"))
-
-
 @query(f"{resolved_sql(1)} SELECT name, scenario, count(*) AS row_count, count(snapshot) AS labels FROM resolved GROUP BY ALL")
-def series_owned_whole_all(spark, sf):
-    """``series_owned_whole`` of every name."""
+def series_owned_whole(spark, sf):
     return _demand(spark, sf, 1).groupBy("name", "scenario").agg(F.count("*").alias("row_count"), F.count("snapshot").alias("labels"))
 
 
@@ -113,15 +116,8 @@ def component_tombstone(spark, sf):
     return _demand(spark, sf, 2)
 
 
-@query(f"{resolved_sql(2)} SELECT name, count(DISTINCT scenario) AS scenarios FROM resolved WHERE TRY_CAST(substr(name, 2) AS BIGINT) % 89 = 0 GROUP BY ALL")
-def scoped_tombstone(spark, sf):
-    rows = _demand(spark, sf, 2).filter("TRY_CAST(substr(name, 2) AS BIGINT) % 89 = 0")
-    return rows.groupBy("name").agg(F.countDistinct("scenario").alias("scenarios"))
-
-
 @query(f"{resolved_sql(2)} SELECT name, count(DISTINCT scenario) AS scenarios FROM resolved GROUP BY ALL")
-def scoped_tombstone_all(spark, sf):
-    """``scoped_tombstone`` of every name."""
+def scoped_tombstone(spark, sf):
     return _demand(spark, sf, 2).groupBy("name").agg(F.countDistinct("scenario").alias("scenarios"))
 
 
@@ -130,9 +126,9 @@ def connection_tombstone(spark, sf):
     return stack(spark, sf, 4).entities("connections", "Link").select("name", "bus", "scenario", "role")
 
 
-@query(f"{resolved_sql(3)} {_ROWS} WHERE name = 'C-new' OR TRY_CAST(substr(name, 2) AS BIGINT) % 97 = 0")
+@query(f"{resolved_sql(3)} {_OWNED}")
 def tombstone_then_readd(spark, sf):
-    return _demand(spark, sf, 3).filter("name = 'C-new' OR try_cast(substr(name, 2) AS BIGINT) % 97 = 0")
+    return _owned(spark, sf, 3)
 
 
 @query(f"""WITH {SQL} SELECT 'C' || c_custkey AS name, 'N' || c_nationkey AS bus, scenario FROM customer, scen
@@ -144,7 +140,7 @@ def tombstone_kills_connections(spark, sf):
 @query(f"""WITH {SQL},
 m AS (SELECT 0 AS depth, 'C' || c_custkey AS name, c_mktsegment AS segment, c_acctbal AS acctbal, scenario, c_custkey AS pos FROM customer, scen
   UNION ALL SELECT 3, 'C' || c_custkey, c_mktsegment, c_acctbal, scenario, c_custkey FROM customer, scen WHERE c_custkey % 194 = 0
-  UNION ALL SELECT 3, 'C-new', 'NEW', 0.0, scenario, 0 FROM scen),
+  UNION ALL SELECT 3, 'C-new', 'NEW', 0.0, scenario, 2147483648 FROM scen),
 w AS (SELECT *, row_number() OVER (PARTITION BY name, scenario ORDER BY depth DESC) AS rn FROM m)
 SELECT w.name, w.scenario, segment, acctbal, CAST(w.depth * 1099511627776 + pos AS BIGINT) AS order_key
 FROM w LEFT JOIN dead_rows d ON d.name = w.name AND d.scenario = w.scenario WHERE rn = 1 AND (d.depth IS NULL OR w.depth >= d.depth)""")
@@ -199,16 +195,27 @@ def nested_axis_fold(spark, sf):
     return Resolver(spark, schema, [Layer("a", {"snapshot": m}), Layer("b", {"snapshot": edit})]).axes["snapshot"].select("period", "snapshot", "weight")
 
 
-_FLAGS = "SELECT 'demand' AS attribute, dim, v AS varies, b AS broadcast, false AS breakpoints FROM (VALUES {0}) x(dim, v, b)"
+def _flags_sql(rows: str) -> str:
+    """Flags of rows (attribute, snapshot, scenario, breakpoint)."""
+    each = " UNION ALL ".join(f"SELECT attribute, '{d}' AS dim, bool_or({d} IS NOT NULL) AS varies, bool_or({d} IS NULL) AS broadcast, bool_or(breakpoint IS NOT NULL) AS breakpoints FROM ({rows}) GROUP BY attribute" for d in ("snapshot", "scenario"))
+    return f"SELECT attribute, dim, varies, broadcast, bool_or(breakpoints) OVER (PARTITION BY attribute) AS breakpoints FROM ({each})"
+
 
+_PLAIN = """SELECT 'demand' AS attribute, snapshot, CAST(NULL AS VARCHAR) AS scenario, CAST(NULL AS DOUBLE) AS breakpoint FROM series
+UNION ALL SELECT 'demand', NULL, NULL, NULL FROM flat
+UNION ALL SELECT 'price', NULL, NULL, bp FROM part, (VALUES (CAST(0 AS DOUBLE)), (10), (50)) v(bp)
+UNION ALL SELECT 'efficiency', NULL, NULL, NULL FROM ends"""
+#: The rows that win in layers 0-3 as they were written: with NULL where a row holds for all scenarios.
+_WRITTEN = """SELECT 'demand' AS attribute, snapshot, CASE WHEN depth = 1 AND snapshot IS NOT NULL THEN scenario END AS scenario, CAST(NULL AS DOUBLE) AS breakpoint FROM resolved"""
 
-@query("SELECT * FROM (VALUES ('demand', 'snapshot', true, true, false), ('demand', 'scenario', false, true, false), ('price', 'snapshot', false, true, true), ('price', 'scenario', false, true, true)) x(attribute, dim, varies, broadcast, breakpoints)")
+
+@query(f"WITH {SQL} {_flags_sql(_PLAIN)}")
 def flags_directory(spark, sf):
     l0 = layers(spark, sf)[0]
-    return flags_by_scan({a: l0.inputs[a] for a in ("demand", "price")}, SCHEMA)
+    return flags_by_scan({a: l0.inputs[a] for a in l0.inputs}, SCHEMA)
 
 
-@query(_FLAGS.format("('snapshot', true, true), ('scenario', true, true)"))
+@query(f"{resolved_sql(3)} {_flags_sql(_WRITTEN)}")
 def flags_layered(spark, sf):
     return stack(spark, sf, 3).flags("Customer")
 
@@ -296,21 +303,6 @@ def set_all_declaring(spark, sf):
     return w.attributes["demand"].select("name", "scenario", "value")
 
 
-@query(f"{resolved_sql(3)} SELECT 'demand' AS attribute, count(*) AS row_count, CAST(sum(value) AS BIGINT) AS total FROM resolved UNION ALL SELECT 'members', count(*), CAST(0 AS BIGINT) FROM (SELECT DISTINCT name, scenario FROM (SELECT 'C' || c_custkey AS name, scenario, c_custkey FROM customer, scen UNION ALL SELECT 'C-new', scenario, -1 FROM scen) a WHERE NOT EXISTS (SELECT 1 FROM dead_rows d WHERE d.name = a.name AND d.scenario = a.scenario AND NOT (c_custkey % 194 = 0)))")
-def flatten_directory(spark, sf):
-    """Commit to a directory, read it back as a plain record."""
-    from lamina.operators.edit import Directory
-    from lamina.sources.store import Store
-
-    resolver = stack(spark, sf, 3)
-    root = shared_root(spark)
-    keep = [Layer(x.id, x.dims, {k: v for k, v in x.components.items() if k == "Customer"}, {}, {k: v for k, v in x.inputs.items() if k == "demand"}) for x in resolver.layers]
-    w = WorkingRecord(LayeredRecord(Resolver(spark, SCHEMA, keep)), Store(spark, root))
-    d = w.commit(Directory(f"{root}/flat"))
-    a = d.attributes["demand"].agg(F.lit("demand").alias("attribute"), F.count("*").alias("row_count"), F.sum("value").alias("total"))
-    return a.unionByName(d.components["Customer"].agg(F.lit("members").alias("attribute"), F.count("*").alias("row_count"), F.lit(0).cast("bigint").alias("total")))
-
-
 @query(f"""{resolved_sql(4)},
 back AS (SELECT 'C' || c_custkey AS name, c_mktsegment AS segment, c_acctbal AS acctbal, scenario FROM customer, scen
   WHERE c_custkey % 194 = 0 OR NOT EXISTS (SELECT 1 FROM dead_rows d WHERE d.name = 'C' || c_custkey AND d.scenario = scen.scenario)
@@ -328,7 +320,7 @@ rows AS (
   WHERE NOT EXISTS (SELECT 1 FROM dead_rows d WHERE d.name = 'C' || c_custkey AND d.scenario = scen.scenario)
   UNION ALL SELECT 'connection', 'Link', name, bus, role, scenario, NULL, NULL, NULL, NULL FROM ends, scen WHERE NOT (name = 'L0_1' AND role = 'output'))
 SELECT * FROM rows""")
-def flatten_directory_whole(spark, sf):
+def flatten_directory(spark, sf):
     """The unreduced stack committed to a directory; every reread row of every attribute, component and connection type."""
     from lamina.operators.edit import Directory
     from lamina.sources.store import Store
@@ -379,12 +371,19 @@ def default_dropped(spark, sf):
     return drop_defaults(rows, 0.05)
 
 
-@query("""SELECT date_trunc('day', ts) AS snapshot, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS click, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS view, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS purchase
-FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL""")
+KINDS = ("click", "error", "purchase", "signup", "view")
+_COUNTS = ", ".join(f"CAST(count(*) FILTER (event_type = '{k}') AS BIGINT) AS {k}" for k in KINDS)
+
+
+def daily(spark, sf) -> DataFrame:
+    """(name, snapshot, value): events of each type a day."""
+    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    return Tables(spark, sf).events.groupBy(day.alias("snapshot"), F.col("event_type").alias("name")).agg(F.count("*").alias("value"))
+
+
+@query(f"SELECT date_trunc('day', ts) AS snapshot, {_COUNTS} FROM events GROUP BY ALL")
 def series_wide(spark, sf):
-    e = Tables(spark, sf).events.filter("event_type IN ('click', 'view', 'purchase')")
-    rows = e.groupBy(F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("snapshot"), F.col("event_type").alias("name")).agg(F.count("*").alias("value"))
-    return series_pivot(rows, ["snapshot"], ["click", "view", "purchase"]).na.fill(0, ["click", "view", "purchase"])
+    return series_pivot(daily(spark, sf), ["snapshot"], KINDS).na.fill(0, list(KINDS))
 
 
 @query("SELECT 'C' || c_custkey AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 10 = 4 THEN CAST(c_custkey AS DOUBLE) ELSE c_acctbal END AS acctbal FROM customer")
@@ -411,28 +410,26 @@ def wide_to_long(spark, sf):
     return melt(Tables(spark, sf).lineitem, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
 
 
-@query("""WITH RECURSIVE tree(id, parent) AS (VALUES (1, NULL), (2, 1), (3, 2), (4, 2), (5, 4)),
-up(id, parent, above) AS (SELECT id, parent, 0 FROM tree WHERE id = 5 UNION ALL SELECT t.id, t.parent, above + 1 FROM tree t JOIN up ON t.id = up.parent)
-SELECT CAST(id AS BIGINT) AS id, CAST((SELECT max(above) FROM up) - above AS BIGINT) AS depth FROM up""")
+@query("SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(r_regionkey - (SELECT min(r_regionkey) FROM region) AS BIGINT) AS depth FROM region")
 def ancestry_chain(spark, sf):
-    """A chain of revisions, root first, as the store keeps it."""
+    """A revision a region, each the child of the one before; the chain, root first, as the store keeps it."""
     from lamina.sources.store import Store
 
-    s = Store(spark, shared_root(spark))
-    ids: dict[int, str] = {}
-    for n, parent in ((1, None), (2, 1), (3, 2), (4, 2), (5, 4)):
-        ids[n] = s.create(ids.get(parent)).id
+    s, ids = Store(spark, shared_root(spark)), {}
+    for r in Tables(spark, sf).region.orderBy("r_regionkey").collect():  # regions of the world
+        ids[r.r_regionkey] = s.create(list(ids.values())[-1] if ids else None).id
+        s.create(ids[r.r_regionkey])  # a branch that is not in the chain
     number = {v: k for k, v in ids.items()}
-    return spark.createDataFrame([(number[x], d) for d, x in enumerate(s.ancestry(ids[5]))], "id bigint, depth bigint")
+    return spark.createDataFrame([(number[x], d) for d, x in enumerate(s.ancestry(list(ids.values())[-1]))], "id bigint, depth bigint")
 
 
-@query("SELECT l_orderkey, l_linenumber, 'net' AS attribute, sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem WHERE false GROUP BY ALL UNION ALL SELECT CAST(c_custkey AS BIGINT), CAST(0 AS INTEGER), 'net', c_acctbal - s_acctbal FROM customer JOIN supplier ON c_custkey = s_suppkey")
+@query("SELECT CAST(c_custkey AS BIGINT) AS k, 'net' AS attribute, c_acctbal - s_acctbal AS value FROM customer JOIN supplier ON c_custkey = s_suppkey")
 def attr_compute(spark, sf):
     t = Tables(spark, sf)
     a = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("value"))
     b = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("other"))
     net = Attr(("a", "b"), lambda x, y: x.join(y, "k").select("k", (q("value") - q("other")).alias("value")))
-    return net.resolve({"a": a, "b": b}, "net").select(q("k").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), "attribute", "value")
+    return net.resolve({"a": a, "b": b}, "net").select(q("k").cast("bigint").alias("k"), "attribute", "value")
 
 
 @query(f"{resolved_sql(3)} {_ROWS}")
@@ -446,15 +443,28 @@ def materialise_invariance(spark, sf):
     return Resolver(spark, SCHEMA, every, kept).attribute("demand").select(*DEMAND)
 
 
-@query("SELECT c_custkey AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_NULLS = "SELECT '{0}' AS side, c_custkey, c_nationkey FROM customer l WHERE NOT EXISTS (SELECT 1 FROM (SELECT CASE WHEN s_nationkey {1} THEN s_nationkey END AS k FROM supplier WHERE s_nationkey < 12) r WHERE r.k IS NOT DISTINCT FROM CASE WHEN c_nationkey <> 3 THEN c_nationkey END)"
+
+
+@query(f"{_NULLS.format('null', '<> 5')} UNION ALL {_NULLS.format('none', '>= 0')}")
 def null_safe_anti(spark, sf):
+    """Left keys with NULLs, against right keys with NULLs and without."""
     t = Tables(spark, sf)
-    return anti(t.customer.select(F.col("c_custkey").alias("name")), t.orders.select(F.col("o_custkey").alias("name")), ["name"])
+    left = t.customer.select("c_custkey", "c_nationkey", F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("name"))
+    right = t.supplier.filter("s_nationkey < 12")
+    some = anti(left, right.select(F.when(F.col("s_nationkey") != 5, F.col("s_nationkey")).alias("name")), ["name"])
+    none = anti(left, right.select(F.col("s_nationkey").alias("name")), ["name"])
+    return some.select(F.lit("null").alias("side"), "c_custkey", "c_nationkey").unionByName(none.select(F.lit("none").alias("side"), "c_custkey", "c_nationkey"))
 
 
-@query("SELECT scenario, weight FROM (VALUES ('base', CAST(0.5 AS DOUBLE)), ('high', 0.3), ('low', 0.2)) x(scenario, weight)")
+@query("SELECT snapshot, row_number() OVER (ORDER BY snapshot) AS nth FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS snapshot FROM orders)")
 def ordered_axis(spark, sf):
-    return ordered(scenarios(spark), "_row").drop("_row")
+    """An axis as a record gives it, numbered as it comes."""
+    from pyspark.sql.window import Window
+
+    axis = LayeredRecord(stack(spark, sf, 1)).dims["snapshot"].select("snapshot", F.monotonically_increasing_id().alias("at"))
+    # an axis: as many rows as it has labels
+    return axis.select("snapshot", F.row_number().over(Window.orderBy("at")).cast("bigint").alias("nth"))
 
 
 @query("SELECT 'C' || c_custkey AS name, 'N' || c_nationkey AS bus, scenario FROM customer, (VALUES ('base'), ('high'), ('low')) s(scenario) WHERE NOT (c_custkey IN (1, 2)) UNION ALL SELECT 'C1', 'N-x', scenario FROM (VALUES ('base'), ('high'), ('low')) s(scenario)")
@@ -466,16 +476,8 @@ def connect_and_disconnect(spark, sf):
     return w.connections["Customer"].select("name", "bus", "scenario")
 
 
-@query("SELECT 'C-a' AS name, scenario, CAST(7 AS BIGINT) AS value FROM (VALUES ('base'), ('high'), ('low')) s(scenario)")
-def add_members(spark, sf):
-    w = _working(spark, sf)
-    w.add("Customer", [{"name": "C-a", "segment": "NEW", "demand": 7}])
-    return w.attributes["demand"].filter("name = 'C-a'").select("name", "scenario", "value")
-
-
 @query(f"WITH {SQL} SELECT name, scenario, snapshot, value FROM demand_rows WHERE depth = 0 UNION ALL SELECT 'C-a', scenario, NULL, CAST(7 AS BIGINT) FROM scen")
-def add_members_all(spark, sf):
-    """``add_members`` with the members that were there."""
+def add_members(spark, sf):
     w = _working(spark, sf)
     w.add("Customer", [{"name": "C-a", "segment": "NEW", "demand": 7}])
     return w.attributes["demand"].select(*DEMAND)

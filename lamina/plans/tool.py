@@ -148,7 +148,7 @@ class NetworkTool:
     def verify(self, record) -> Requirements:
         """Everything that stands in the way of ``build``; no value is read but through flags."""
         missing = frozenset({self.snapshot} - set(record.dims))
-        had = {"component_key": record.schema.component_dims, "connection_key": record.schema.connection_dims}
+        had = {"member_key": record.schema.member_dims, "link_key": record.schema.link_dims}
         keys = frozenset((k, d) for k, dims in had.items() for d in dims if d not in self.honoured)
         if keys:
             return Requirements(missing, keys)
@@ -208,7 +208,7 @@ class NetworkTool:
                 flat[a] = rows
                 if moves:
                     series[a] = self._wide(rows, net)
-            key = ("name", *[d for d in record.schema.component_dims if d in members.columns])
+            key = ("name", *[d for d in record.schema.member_dims if d in members.columns])
             static = static_assign(members, flat, self.snapshot, key)
             if links is not None:
                 wide = ports_pivot(links, key=at, values=on_ports)
@@ -304,5 +304,5 @@ class NetworkTool:
         long = {}
         for a, frames in inputs.items():
             types = schema.types_of(["name", "bus", *schema.dimensions, "attribute", "breakpoint"]) | {"value": schema.value_type(a)}
-            long[a] = union_by_name([cast_declared(with_missing(f, types), types).select(*map(q, schema.long_columns)) for f in frames])
+            long[a] = union_by_name([cast_declared(with_missing(f, types), types).select(*map(q, schema.row_columns)) for f in frames])
         return schema, Layer("imported", model.axes, members, {t: f.drop("port", "ports", "order_key") for t, f in links.items()}, long)

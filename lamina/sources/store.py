@@ -167,7 +167,7 @@ class Store:
     def reconcile(self, schema: Schema) -> None:
         """Refuse a schema that would make existing layers unreadable."""
         old = self.schema
-        if old and (why := old.compatible_with(schema)):
+        if old and (why := old.conflicts(schema)):
             raise SchemaError("; ".join(why))
 
     def _revisions(self) -> dict[str, str | None]:
@@ -247,7 +247,7 @@ class Store:
         if not self.materialised(id):
             return None
         got = read_json(self.files, f"{self.resolved_uri(id)}/owner_map/done.json")
-        wide = {*schema.input_dims, *schema.component_dims, *schema.connection_dims}
+        wide = {*schema.split_dims, *schema.member_dims, *schema.link_dims}
         if any(d in wide for x in layers[depth + 1 :] for d in x.dims) or set(got["axes"]) - set(schema.dimensions):
             return None
         at = self.resolved_uri(id)

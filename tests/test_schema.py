@@ -13,17 +13,17 @@ S = Schema(
 
 
 def test_keys_follow_from_the_declaration():
-    assert S.input_dims == ("period", "scenario")
+    assert S.split_dims == ("period", "scenario")
     assert S.whole_dims == ("snapshot",)
-    assert S.input_key == ("name", "bus", "period", "scenario", "attribute")
-    assert S.component_key == ("name", "scenario")
-    assert S.connection_key == ("name", "bus", "scenario")
-    assert S.axis_key("snapshot") == ("period", "snapshot")
-    assert S.axis_key("period") == ("period",)
+    assert S.values_key == ("name", "bus", "period", "scenario", "attribute")
+    assert S.member_key == ("name", "scenario")
+    assert S.link_key == ("name", "bus", "scenario")
+    assert S.label_key("snapshot") == ("period", "snapshot")
+    assert S.label_key("period") == ("period",)
     assert S.owned_per(S.spec("p")) == ("scenario",)
-    assert S.long_columns == ("name", "bus", "snapshot", "period", "scenario", "attribute", "breakpoint", "value")
+    assert S.row_columns == ("name", "bus", "snapshot", "period", "scenario", "attribute", "breakpoint", "value")
     assert S.spec("p").varying and not S.spec("cap").varying
-    assert S.types_declaring("p") == ("Gen",) and S.value_type("unknown") == "DOUBLE"
+    assert S.types_with("p") == ("Gen",) and S.value_type("unknown") == "DOUBLE"
 
 
 @pytest.mark.parametrize(
@@ -46,7 +46,7 @@ def test_contradictions_are_refused(args):
 
 
 def test_an_empty_schema_is_no_manifest_yet():
-    assert not Schema() and Schema().input_key == ("name", "bus", "attribute")
+    assert not Schema() and Schema().values_key == ("name", "bus", "attribute")
 
 
 def test_json_round_trip_with_non_finite_defaults():
@@ -60,16 +60,16 @@ def test_json_round_trip_with_non_finite_defaults():
 
 
 def test_compatibility():
-    assert S.compatible_with(S) == []
+    assert S.conflicts(S) == []
     wider = Schema({**S.dimensions, "vintage": Dimension()}, {"Gen": {**S.attributes["Gen"], "q": AttributeSpec()}}, S.partial)
-    assert S.compatible_with(wider) == []
-    assert wider.compatible_with(S)
+    assert S.conflicts(wider) == []
+    assert wider.conflicts(S)
     narrowed = Schema(S.dimensions, {"Gen": {**S.attributes["Gen"], "p": AttributeSpec(dims={"snapshot"})}}, S.partial)
-    assert "lost dims" in S.compatible_with(narrowed)[0]
+    assert "lost dims" in S.conflicts(narrowed)[0]
     retyped = Schema({**S.dimensions, "period": Dimension("VARCHAR")}, S.attributes, S.partial)
-    assert "changed type" in S.compatible_with(retyped)[0]
+    assert "changed type" in S.conflicts(retyped)[0]
     whole = Schema({**S.dimensions, "scenario": Dimension()}, S.attributes, frozenset({"scenario"}))
-    assert "no longer partial" in S.compatible_with(whole)[-1]
+    assert "no longer partial" in S.conflicts(whole)[-1]
 
 
 def test_type_names_of_both_spellings():

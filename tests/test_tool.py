@@ -38,7 +38,7 @@ def test_verify_names_what_is_in_the_way(spark):
     assert why.curves == {("Gen", "cost")} and "curves" in why.describe()
     with pytest.raises(UnsupportedRecordError):
         tool().build(record(spark, inputs=curve))
-    assert tool(honoured=frozenset()).verify(record(spark)).unsupported_keys == {("component_key", "scenario"), ("connection_key", "scenario")}
+    assert tool(honoured=frozenset()).verify(record(spark)).unsupported_keys == {("member_key", "scenario"), ("link_key", "scenario")}
     odd = {"Odd": spark.createDataFrame([("o", None, 0)], "name string, scenario string, _row bigint")}
     assert tool().verify(record(spark, components=odd)).unknown_types == {"Odd"}
     needs = NetworkTool({"Gen": {"cap": Given(required=True)}}, snapshot="hour")
