@@ -220,4 +220,4 @@ def mix_rows(docs: DataFrame, weights: Mapping[str, float] | None = None, total_
     """
     got = _chosen(docs, weights, total_tokens, seed, keep, vocab=vocab, id_col=id_col, text_col=text_col, source_col=source_col)
     keys = got.groupBy("doc_id", "text_hash").agg(F.sum(F.col("kept").cast("bigint")).alias("take"), F.count("*").alias("rows"))
-    return take_rows(docs, keys, id_col, text_col)
+    return take_rows(docs, settled(keys, "keys"), id_col, text_col)

@@ -130,19 +130,23 @@ def take_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, ot
     """Rows of ``docs`` by key; ``chosen`` has (doc_id, text_hash, take, rows), one row a key.
 
     A key is the id with the hash of its text.  ``take`` of the ``rows`` equal rows stay, and with
-    ``others`` every row whose key is not in ``chosen``.  Rows are shuffled once; only keys that lose
-    some of their equal rows are numbered, first within each of 64 salts, so that a key with countless
-    equal rows is never numbered in one task.
+    ``others`` every row whose key is not in ``chosen``.  Rows are shuffled once.  Only where some key
+    loses a part of its equal rows are those joined once more and numbered, first within each of 64
+    salts, so that a key with countless equal rows is never numbered in one task.
     """
     i, h, t, n, r, s = fresh(docs, "__id", "__hash", "__take", "__rows", "__nth", "__salt")
     keyed = docs.withColumn(i, F.col(f"`{id_col}`").cast("bigint")).withColumn(h, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    keyed = keyed.withColumn(s, F.pmod(F.monotonically_increasing_id(), F.lit(64)))
     keys = chosen.select(F.col("doc_id").alias(i + "2"), F.col("text_hash").alias(h + "2"), F.col("take").alias(t), F.col("rows").alias(n))
     on = F.col(i).eqNullSafe(F.col(i + "2")) & (F.col(h) == F.col(h + "2"))
-    got = keyed.join(keys, on, "left" if others else "inner")
-    whole = got.filter(F.col(t).isNull() | (F.col(t) >= F.col(n)))
-    part = got.filter((F.col(t) < F.col(n)) & (F.col(t) > 0))
+    back = [F.col(f"`{c}`") for c in docs.columns]
+    if others:
+        out = keyed.join(keys.filter(F.col(t) < F.col(n)), on, "left_anti").select(*back)
+    else:
+        out = keyed.join(keys.filter(F.col(t) >= F.col(n)), on, "left_semi").select(*back)
+    some = keys.filter((F.col(t) < F.col(n)) & (F.col(t) > 0))
+    if some.isEmpty():
+        return out
+    part = keyed.withColumn(s, F.pmod(F.monotonically_increasing_id(), F.lit(64))).join(some, on)
     for by in ([i, h, s], [i, h]):
         part = part.withColumn(r, F.row_number().over(Window.partitionBy(*by).orderBy(s))).filter(F.col(r) <= F.col(t)).drop(r)
-    back = [F.col(f"`{c}`") for c in docs.columns]
-    return whole.select(*back).unionByName(part.select(*back))
+    return out.unionByName(part.select(*back))
