@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import as_frame, fresh, new_path, prepare, settled
+from lamina.llm.shared import as_frame, fresh, new_path, prepare, settled, tidied
 
 FANOUT = 16
 NO_ID = np.iinfo(np.int64).max
@@ -266,14 +266,14 @@ def exact_duplicates(docs: DataFrame, *, bucket_bytes: int = 64 << 20, id_col: s
     spark = docs.sparkSession
     prepare(spark)
     few = as_frame(docs, id_col, text_col)
-    folded = settled(few.filter("text IS NOT NULL").mapInArrow(_fold(bucket_bytes), "local bigint, doc_id bigint, text string, rows bigint"), "folded")
+    folded = settled(few.filter("text IS NOT NULL").mapInArrow(tidied(_fold(bucket_bytes)), "local bigint, doc_id bigint, text string, rows bigint"), "folded")
     spill = new_path(spark, "spill")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return grace((b for b in batches if b.num_rows), spill, bucket_bytes, Folds)
 
     texts = folded.filter("text IS NOT NULL").select("text", "local", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), "rows")
-    answers = texts.repartition("text").mapInArrow(run, "local bigint, keep_id bigint, copies bigint")
+    answers = texts.repartition("text").mapInArrow(tidied(run), "local bigint, keep_id bigint, copies bigint")
     out = folded.filter("text IS NULL").select("local", "doc_id").join(answers, "local").select("doc_id", "keep_id", "copies")
     alone = few.filter("text IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("copies"))
     return out.unionByName(alone)
@@ -298,6 +298,6 @@ def drop_exact_duplicates(docs: DataFrame, *, bucket_bytes: int = 64 << 20, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return grace((b for b in batches if b.num_rows), spill, bucket_bytes, Keepers)
 
-    kept = live.mapInArrow(run, live.schema).repartition(t).mapInArrow(run, live.schema)
+    kept = live.mapInArrow(tidied(run), live.schema).repartition(t).mapInArrow(tidied(run), live.schema)
     back = [F.col(t).cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*back).unionByName(docs.filter(F.col(f"`{text_col}`").isNull()))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lamina.llm.shared import as_frame, prepare, settled, slices, texts_of
+from lamina.llm.shared import as_frame, prepare, settled, slices, texts_of, tidied
 from lamina.llm.text import shingles, word_hashes
 
 K, SHINGLE = 128, 5
@@ -59,7 +59,7 @@ def sketches(docs: DataFrame, *, k: int = K, shingle: int = SHINGLE, id_col: str
                 arr = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), arr, pa.array(est.astype(np.int64)), *[b.column(2 + j).slice(lo, hi - lo) for j in range(len(more))]], ["doc_id", "sketch", "shingles", *more])
 
-    return as_frame(docs, id_col, text_col, *more).mapInArrow(run, "doc_id bigint, sketch array<bigint>, shingles bigint" + "".join(f", `{c}` string" for c in more))
+    return as_frame(docs, id_col, text_col, *more).mapInArrow(tidied(run), "doc_id bigint, sketch array<bigint>, shingles bigint" + "".join(f", `{c}` string" for c in more))
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -124,7 +124,7 @@ def merge_parts(parts: DataFrame, by: str, *, k: int = K) -> DataFrame:
             yield from give()
 
     schema = StructType([StructField("part", kind), StructField("value", LongType())])
-    few = parts.filter(F.col("sketch").isNotNull()).select(F.col(f"`{by}`").alias("part"), "sketch").mapInArrow(run, schema).distinct()
+    few = parts.filter(F.col("sketch").isNotNull()).select(F.col(f"`{by}`").alias("part"), "sketch").mapInArrow(tidied(run), schema).distinct()
     nth = F.row_number().over(Window.partitionBy("part").orderBy(F.col("value").asc_nulls_last()))
     few = few.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
     out = few.groupBy("part").agg(F.array_sort(F.collect_list("value")).alias("sketch"))

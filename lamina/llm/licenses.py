@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lamina.llm.license_rules import rules
-from lamina.llm.shared import as_frame, cached, prepare, texts_of
+from lamina.llm.shared import as_frame, cached, prepare, texts_of, tidied
 
 ID = re.compile(r"[\w+-]+(?:\.[\w+-]+)*")
 #: (, ids joined by OR, AND and WITH, )
@@ -104,4 +104,4 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "license", "kind", "rule", "begin", "end"])
 
-    return as_frame(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, license string, kind string, rule int, begin int, end int")
+    return as_frame(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id bigint, license string, kind string, rule int, begin int, end int")

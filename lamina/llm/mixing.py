@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.shared import as_frame, prepare, settled, slices, take_rows, texts_of
+from lamina.llm.shared import as_frame, prepare, settled, slices, take_rows, texts_of, tidied
 from lamina.llm.text import VOCAB, encode_chunks
 
 SEED = 20
@@ -42,7 +42,7 @@ def token_lengths(docs: DataFrame, *, vocab: str = VOCAB, id_col: str = "doc_id"
         F.col(f"`{source_col}`").cast("string").alias("source"),
         F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"),
     )
-    return few.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, text_hash bigint")
+    return few.mapInArrow(tidied(run), "doc_id bigint, source string, n_tokens bigint, text_hash bigint")
 
 
 def _knapsack(length: np.ndarray, spare: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import as_frame, discard, new_path, prepare, settled, slices, take_rows, texts_of
+from lamina.llm.shared import as_frame, discard, new_path, prepare, settled, slices, take_rows, texts_of, tidied
 from lamina.llm.text import mix, shingles, word_hashes
 
 ROWS, BANDS, SHINGLE = 4, 40, 3
@@ -121,7 +121,7 @@ def _signatures(docs: DataFrame, folder: str) -> DataFrame:
                     node += rows
                     yield pa.RecordBatch.from_arrays(cols, ["node", "doc_id", "text_hash", "d1", "d2", "bands", "sig", "file", "at", "n"])
 
-    return docs.mapInArrow(run, "node bigint, doc_id bigint, text_hash bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary, file string, at bigint, n int")
+    return docs.mapInArrow(tidied(run), "node bigint, doc_id bigint, text_hash bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary, file string, at bigint, n int")
 
 
 def _unpack(col) -> np.ndarray:
@@ -155,7 +155,7 @@ def _prune(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
             live = pa.array(_survivors(np.concatenate([_unpack(t.column(2)), _unpack(t.column(3))]), np.arange(n), n + np.arange(n), need))
             yield pa.RecordBatch.from_arrays([t.column(0).take(live), t.column(1).take(live)], ["a", "b"])
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def _fetch(routes: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def _fetch(routes: DataFrame) -> DataFrame:
 
     near = routes.select("a", "way", "turn", "b", "file", "at", "n").withColumn("stretch", F.shiftright("at", 23))
     near = near.repartition("file", "stretch").sortWithinPartitions("file", "at").drop("stretch")
-    return near.mapInArrow(run, "a bigint, way int, turn int, b bigint, items binary")
+    return near.mapInArrow(tidied(run), "a bigint, way int, turn int, b bigint, items binary")
 
 
 def _set_of(raw) -> np.ndarray:
@@ -233,7 +233,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             x = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"])
 
-    return routed.repartition("a", "way").sortWithinPartitions("a", "way", "turn").mapInArrow(run, "a bigint, b bigint")
+    return routed.repartition("a", "way").sortWithinPartitions("a", "way", "turn").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def _in_blocks(members: DataFrame, groups, sigs: DataFrame, threshold: float, mi
             yield compare(pa.Table.from_batches(held).combine_chunks())
 
     met = at.join(sigs.select("node", "sig"), "node").select("key", "lo", "hi", "block", "part", "node", "sig")
-    return met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(tidied(run), "a bigint, b bigint").distinct()
 
 
 def clusters(docs: DataFrame, *, threshold: float = 0.5, miss: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamina.llm.shared import as_frame, prepare, settled, slices, texts_of
+from lamina.llm.shared import as_frame, prepare, settled, slices, texts_of, tidied
 from lamina.llm.text import mix, word_hashes
 
 SHARD_BYTES = 12 << 20
@@ -168,7 +168,7 @@ def _block(corpus: DataFrame, block: list, smoothing: float, shard_bytes: int, i
         if hashes:
             yield from search()
 
-    found = as_frame(corpus, id_col, text_col).select("doc_id", "text").filter("text IS NOT NULL").mapInArrow(run, "pos int, k int, count bigint")
+    found = as_frame(corpus, id_col, text_col).select("doc_id", "text").filter("text IS NOT NULL").mapInArrow(tidied(run), "pos int, k int, count bigint")
     counts = settled(found.groupBy("pos", "k").agg(F.sum("count").alias("count")), "counts")
     # c(context of k-1 words before pos, word at pos) is c(k words ending at pos); its context ends at pos - 1
     joint = counts.filter("k > 0").withColumn("order", F.col("k") - 1)

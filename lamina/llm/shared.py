@@ -7,6 +7,7 @@ executor shares, so that losing an executor never loses them.  Only a session th
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import sys
@@ -87,6 +88,23 @@ def cached(key, build):
     return store[key]
 
 
+def tidied(run):
+    """``run``, after which the worker gives unused memory back: workers live on from stage to stage,
+    and what one has used would stay with it beside the next one's."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+
+    return wrapped
+
+
 def offsets_of(col: pa.Array) -> np.ndarray:
     """Byte offsets of a string or binary array, slices included."""
     kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32

@@ -109,7 +109,7 @@ def encode_chunks(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, l
     enc = encoding(path).encode_ordinary
     code, off, distinct = chunks(texts)
     memo = cached(("memo", path), dict)
-    if len(memo) > 400_000:
+    if len(memo) > 100_000:
         memo.clear()
     ids = []
     add = ids.append

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lamina.llm.shared import as_frame, prepare, slices, texts_of
+from lamina.llm.shared import as_frame, prepare, slices, texts_of, tidied
 from lamina.llm.text import VOCAB, encoding, safe_pieces
 
 
@@ -38,4 +38,4 @@ def token_counts(docs: DataFrame, *, vocab: str = VOCAB, batch_bytes: int = 1 <<
             null = b.column(1).is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64(), mask=null)], ["doc_id", "n_tokens"])
 
-    return as_frame(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return as_frame(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id bigint, n_tokens bigint")

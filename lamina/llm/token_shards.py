@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import as_frame, prepare, settled, slices, texts_of
+from lamina.llm.shared import as_frame, prepare, settled, slices, texts_of, tidied
 from lamina.llm.text import VOCAB, encode_chunks, ranks
 
 SEQUENCE, PER_SHARD, ROUNDS, KEY = 2048, 256, 6, 0x5EED
@@ -74,7 +74,7 @@ def encoded(docs: DataFrame, *, vocab: str = VOCAB, end_id: int | None = None, i
                 at += int(bounds[-1])
 
     live = as_frame(docs, id_col, text_col).filter("text IS NOT NULL")
-    return settled(live.mapInArrow(run, "part int, start bigint, n bigint, ids binary"), "encoded")
+    return settled(live.mapInArrow(tidied(run), "part int, start bigint, n bigint, ids binary"), "encoded")
 
 
 def token_shards(docs: DataFrame, *, vocab: str = VOCAB, sequence: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,9 +147,9 @@ def token_shards(docs: DataFrame, *, vocab: str = VOCAB, sequence: int = SEQUENC
         if shard is not None:
             yield done()
 
-    pieces = rows.mapInArrow(cut, "range int, slot bigint, at int, piece binary")
+    pieces = rows.mapInArrow(tidied(cut), "range int, slot bigint, at int, piece binary")
     ranged = pieces.repartitionById(parts, F.col("range")).sortWithinPartitions("slot", "at")
-    return ranged.mapInArrow(build, "shard bigint, first_slot bigint, sequences int, stride int, checksum bigint, payload binary")
+    return ranged.mapInArrow(tidied(build), "shard bigint, first_slot bigint, sequences int, stride int, checksum bigint, payload binary")
 
 
 def write_shards(shards: DataFrame, folder: str) -> DataFrame:
@@ -174,7 +174,7 @@ def write_shards(shards: DataFrame, folder: str) -> DataFrame:
                 fs.move(own, f"{root}/shard-{n:08d}.bin")
             yield b.select(range(5))
 
-    return shards.mapInArrow(run, "shard bigint, first_slot bigint, sequences int, stride int, checksum bigint")
+    return shards.mapInArrow(tidied(run), "shard bigint, first_slot bigint, sequences int, stride int, checksum bigint")
 
 
 def read_slots(folder: str, begin: int, end: int, *, sequence: int = SEQUENCE, per_shard: int = PER_SHARD, kind=np.uint16) -> Iterator[np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import as_frame, fresh, offsets_of, prepare, slices, texts_of
+from lamina.llm.shared import as_frame, fresh, offsets_of, prepare, slices, texts_of, tidied
 
 BITS = 20
 GRAMS = (4, 5, 6)
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_r
             model = {"bias": -30.0, "at": np.zeros(0, np.int32), "w": np.zeros(0, np.float32)}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    got = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").collect()
+    got = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(tidied(run), "model binary").collect()
     return pickle.loads(bytes(got[0].model)) if got else {"bias": -30.0, "at": np.zeros(0, np.int32), "w": np.zeros(0, np.float32)}
 
 
@@ -210,7 +210,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.6, id_c
             s = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(s >= threshold), pa.array(found, kind)], ["doc_id", "score", "toxic", "sentences"])
 
-    return as_frame(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double, toxic boolean, sentences array<struct<begin:int,end:int,score:double>>")
+    return as_frame(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id bigint, score double, toxic boolean, sentences array<struct<begin:int,end:int,score:double>>")
 
 
 def locate(s, p, starts, first, raw, off, threshold: float) -> list:
@@ -253,4 +253,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.6, id
             if keep:
                 yield b.filter(pa.array(np.concatenate(keep))).select(range(b.num_columns - 1))
 
-    return keyed.mapInArrow(run, docs.schema)
+    return keyed.mapInArrow(tidied(run), docs.schema)

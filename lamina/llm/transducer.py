@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import as_frame, cached, discard, new_path, offsets_of, prepare, settled, slices, texts_of
+from lamina.llm.shared import as_frame, cached, discard, new_path, offsets_of, prepare, settled, slices, texts_of, tidied
 from lamina.llm.text import EXACT, VOCAB, chunks, compiled, encoding, ranks
 
 WORDS = 65_536
@@ -386,7 +386,7 @@ def frequent_words(docs: DataFrame, limit: int = WORDS, longest: int = LONGEST)
         if held is not None:
             yield from held.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches(max_chunksize=50_000)
 
-    counts = docs.select("doc_id", "text").filter("text IS NOT NULL").mapInArrow(run, "word string, n bigint")
+    counts = docs.select("doc_id", "text").filter("text IS NOT NULL").mapInArrow(tidied(run), "word string, n bigint")
     counts = settled(counts.groupBy("word").agg(F.sum("n").alias("count")), "words")
     short = counts.filter(F.octet_length("word") <= longest)
     # a top-k sends k rows from every partition: only words that can be among the first reach it,
@@ -440,7 +440,7 @@ def bpe_encode(docs: DataFrame, *, vocab: str = VOCAB, words: int = WORDS, lexic
                 none = pa.scalar(None)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pc.if_else(gone, none, lists), pc.if_else(gone, none, pa.array(np.diff(off))), pc.if_else(gone, none, pa.array(same))], ["doc_id", "ids", "n_tokens", "exact"])
 
-    return few.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, exact boolean")
+    return few.mapInArrow(tidied(run), "doc_id bigint, ids array<int>, n_tokens bigint, exact boolean")
 
 
 def bpe_decode(encoded: DataFrame, *, vocab: str = VOCAB) -> DataFrame:
@@ -454,4 +454,4 @@ def bpe_decode(encoded: DataFrame, *, vocab: str = VOCAB) -> DataFrame:
             texts = [None if x is None else b"".join(table[i] for i in x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("bigint"), "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select(F.col("doc_id").cast("bigint"), "ids").mapInArrow(tidied(run), "doc_id bigint, text string")
