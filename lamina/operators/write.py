@@ -31,7 +31,10 @@ def ambiguous_names(frames: Mapping[str, DataFrame]) -> DataFrame:
 
 def check_unique(frames: Mapping[str, DataFrame]) -> None:
     if len(frames) > 1:
-        bad = [r.name for r in ambiguous_names(frames).orderBy("name").limit(5).collect()]  # a few for the message
+        # types by number: one aggregate, of least and greatest
+        rows = union_by_name([f.select("name", F.lit(n).alias("n")) for n, f in enumerate(frames.values())])
+        many = rows.groupBy("name").agg(F.min("n").alias("a"), F.max("n").alias("z")).filter("a < z")
+        bad = [r.name for r in many.orderBy("name").limit(5).collect()]  # a few for the message
         if bad:
             raise RecordError(f"names of more than one type: {bad}")
 

@@ -81,11 +81,12 @@ def curves(t: Tables, factors: tuple[float, float, float], where: str | None = N
 
 
 def pairs(t: Tables) -> DataFrame:
-    """(s, c, n): line items between supplier and customer nations."""
+    """(s, c, n): line items between supplier and customer nations; a row a pair of nations, kept by
+    the session, as every frame of links is made from it."""
     li = t.lineitem.select("l_orderkey", "l_suppkey")
     s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("s"))
     c = t.orders.select("o_orderkey", "o_custkey").join(t.customer.select("c_custkey", F.col("c_nationkey").alias("c")), F.col("o_custkey") == F.col("c_custkey"))
-    return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("s", "c").agg(F.count("*").alias("n"))
+    return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("s", "c").agg(F.count("*").alias("n")).persist()
 
 
 def link_name():
