@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions.frames import q, union_by_name
@@ -35,8 +35,9 @@ def labels_of(axis: DataFrame, dim: str) -> DataFrame:
     return axis.agg(F.collect_set(q(dim)).alias(f"__labels_{dim}"))
 
 
-def expand(df: DataFrame, dims: Sequence[str], axes: Mapping[str, DataFrame]) -> DataFrame:
-    """Replace NULL in ``dims`` by a row a label; an axis that is absent or empty leaves the NULL.
+def expand(df: DataFrame, dims: Sequence[str], axes: Mapping[str, DataFrame], where: Column | None = None) -> DataFrame:
+    """Replace NULL in ``dims`` by a row a label, in the rows of ``where`` alone if it is given; an
+    axis that is absent or empty leaves the NULL.
 
     The labels travel as one row, so no row is joined with an axis.
     """
@@ -46,6 +47,7 @@ def expand(df: DataFrame, dims: Sequence[str], axes: Mapping[str, DataFrame]) ->
         labels = f"__labels_{d}"
         # one row, an array of an axis' labels; Spark knows that and sends it out while it is small
         df = df.crossJoin(labels_of(axes[d], d))
-        each = F.explode_outer(F.when(q(d).isNull(), F.col(labels)).otherwise(F.array(q(d)))).alias(d)
+        wide = q(d).isNull() if where is None else q(d).isNull() & where
+        each = F.explode_outer(F.when(wide, F.col(labels)).otherwise(F.array(q(d)))).alias(d)
         df = df.select(*[each if c == d else q(c) for c in df.columns if c != labels])
     return df

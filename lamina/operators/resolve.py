@@ -39,6 +39,10 @@ def _row(df: DataFrame) -> DataFrame:
     return df.withColumn("_row", F.row_number().over(Window.orderBy(*map(q, keys))) - 1)
 
 
+def _of(df: DataFrame, names: DataFrame | None) -> DataFrame:
+    return df if names is None else semi(df, names, ["name"])
+
+
 def _packed(schema: Schema) -> Column:
     """The flags of a written map as bits."""
     on = lambda c, n: F.when(c, 1 << n).otherwise(0)
@@ -111,6 +115,11 @@ class Resolver:
             return None
         return expand(union_by_name(frames), dims, self.axes).groupBy(*map(q, key)).agg(F.max("_dead").alias("_dead"))
 
+    @cached_property
+    def _last_removal(self) -> int:
+        """The deepest layer that may remove members or connections, -1 if none does."""
+        return max((d for d, x in self._new for kind in (x.components, x.connections) for f in kind.values() if "deleted" in f.columns), default=-1)
+
     def _ddl(self, column: str) -> str:
         from lamina.functions.types import ddl
 
@@ -134,18 +143,21 @@ class Resolver:
     def inputs_map(self, attributes: Iterable[str] | None = None) -> DataFrame:
         """(input key, depth, layer, varies, broadcast, breakpoints); only key columns are read."""
         only = None if attributes is None else frozenset(attributes)
+        if only is not None and ("inputs", None) in (self._kept or {}) and ("inputs", only) not in self._kept:
+            return self._kept["inputs", None].filter(q("attribute").isin(*only))
         return self._once(("inputs", only), lambda: self._inputs_map(only))
 
-    def _inputs_map(self, only: frozenset[str] | None) -> DataFrame:
-        """Two hash aggregates over numbers alone: flags are bits, or-ed for each key and layer; then
-        the greatest (depth, flags) of each key wins."""
+    def _inputs_map(self, only: frozenset[str] | None, among: DataFrame | None = None) -> DataFrame:
+        """Hash aggregates over numbers alone: flags are bits, or-ed for each key and layer, first as
+        the rows were written and then a label each; then the greatest (depth, flags) of each key
+        wins.  ``among``: of these names alone."""
         s, key = self.schema, self.schema.values_key
         frames = []
         for d, layer in self._new:
             for a in layer.inputs:
                 if only is not None and a not in only:
                     continue
-                f = with_missing(layer.inputs[a], s.types_of(["bus", *s.dimensions, "breakpoint"]))
+                f = with_missing(_of(layer.inputs[a], among), s.types_of(["bus", *s.dimensions, "breakpoint"]))
                 name = q("attribute") if "attribute" in f.columns else F.lit(a)
                 cols = [name.alias("attribute") if k == "attribute" else q(k).cast(self._ddl(k)).alias(k) for k in key]
                 bits = [F.when(q(x).isNotNull(), 1 << 2 * n).otherwise(2 << 2 * n) for n, x in enumerate(s.dimensions)]
@@ -153,12 +165,14 @@ class Resolver:
                 frames.append(f.select(*cols, flags.alias("__flags"), F.lit(d).cast("bigint").alias("depth")))
         won = None
         if frames:
-            rows = expand(union_by_name(frames), s.split_dims, self.axes)
+            written = union_by_name(frames).groupBy(*map(q, key), "depth").agg(F.bit_or("__flags").alias("__flags"))
+            # placed by key, so that neither aggregate moves rows again
+            rows = expand(written, s.split_dims, self.axes).repartition(*map(q, key))
             own = rows.groupBy(*map(q, key), "depth").agg(F.bit_or("__flags").alias("__flags"))
             won = own.select(*map(q, key), (F.shiftleft("depth", MASK_BITS) + F.col("__flags")).alias("__won"))
         if self.base:
             old = self.base.inputs if only is None else self.base.inputs.filter(q("attribute").isin(*only))
-            old = old.select(*map(q, key), (F.shiftleft(F.col("depth").cast("bigint"), MASK_BITS) + _packed(s)).alias("__won"))
+            old = _of(old, among).select(*map(q, key), (F.shiftleft(F.col("depth").cast("bigint"), MASK_BITS) + _packed(s)).alias("__won"))
             won = old if won is None else won.unionByName(old)
         if won is None:
             won = empty(self.spark, s.types_of([*key])).withColumn("__won", F.lit(0).cast("bigint"))
@@ -187,19 +201,21 @@ class Resolver:
                 live = f.filter(~q("deleted")) if "deleted" in f.columns else f
                 ctype = q("component_type") if "component_type" in f.columns else F.lit(t)
                 cols = [q(k).cast(self._ddl(k)).alias(k) for k in key]
-                frames.append(live.select(*cols, ctype.alias("component_type"), order_of(F.lit(d), q("_row")).alias("order_key"), F.lit(d).alias("depth"), F.lit(layer.id).alias("layer")))
-        packs = ["depth", "layer", "component_type", "order_key"]
+                frames.append(live.select(*cols, ctype.alias("component_type"), order_of(F.lit(d), q("_row")).alias("order_key"), F.lit(d).alias("depth")))
+        packs = ["depth", "component_type", "order_key"]
         won = None
         if frames:
             won = expand(union_by_name(frames), dims, self.axes)
         if self.base:
-            old = getattr(self.base, kind)
+            old = getattr(self.base, kind).drop("layer")
             won = old if won is None else union_by_name([old, won])
         if won is None:
-            return empty(self.spark, s.types_of([*key, *packs]))
+            return empty(self.spark, s.types_of([*key, "depth", "layer", "component_type", "order_key"]))
         # deepest layer, then its first row
         best = won.groupBy(*map(q, key)).agg(F.max_by(F.struct(*packs), F.struct("depth", F.negative("order_key"))).alias("__w"))
-        best = best.select(*map(q, key), *[F.col("__w").getField(p).alias(p) for p in packs])
+        # a layer's id follows from its depth, so no row carries it through the aggregate
+        layer = F.element_at(F.array(*[F.lit(x.id) for x in self.layers]), F.col("__w.depth") + 1)
+        best = best.select(*map(q, key), F.col("__w.depth").alias("depth"), layer.alias("layer"), *[F.col("__w").getField(p).alias(p) for p in packs[1:]])
         if kind == "components":
             return self._alive(best, self._dead_components, key)
         # keyed by fewer dims than components: a removal in any of the others removes the connection
@@ -214,24 +230,33 @@ class Resolver:
         rows = self.inputs_map().select("attribute").distinct().collect()  # names of attributes
         return tuple(sorted(r.attribute for r in rows))
 
+    def members_named(self, names: Sequence[str]) -> DataFrame:
+        """The part of the map of members that has these names; without a kept map only they are folded."""
+        held = (self._kept or {}).get("components")
+        return (self._entity_map("components") if held is None else held).filter(q("name").isin(list(names)))
+
     def types(self, kind: str = "components") -> tuple[str, ...]:
         rows = self.entity_map(kind).select("component_type").distinct().collect()  # names of types
         return tuple(sorted(r.component_type for r in rows))
 
-    def attribute(self, attribute: str) -> DataFrame:
-        """The long rows of an attribute that the stack resolves to.
+    def attribute(self, attribute: str, among: DataFrame | None = None) -> DataFrame:
+        """The long rows of an attribute that the stack resolves to; ``among``: of these names alone.
 
         Only files of this attribute are read.  NULL in a partial dim with labels comes back as the
         labels that the row's layer owns; other dims keep their NULL.  Defaults are not filled in.
         """
         s = self.schema
-        held = [(layer.id, layer.inputs[attribute]) for layer in self.layers if attribute in layer.inputs]
+        held = [(d, _of(layer.inputs[attribute], among)) for d, layer in enumerate(self.layers) if attribute in layer.inputs]
         types = s.types_of(["name", "bus", *s.dimensions, "attribute", "breakpoint"]) | {"value": s.value_type(attribute)}
         if not held:
             return empty(self.spark, {c: types[c] for c in s.row_columns})
-        rows = union_by_name([cast_declared(with_missing(f, types | {"attribute": "VARCHAR"}), types).select(*map(q, s.row_columns), F.lit(i).alias("layer")) for i, f in held])
-        owner = renamed(self.inputs_map([attribute]).select("name", "bus", *map(q, s.split_dims), "layer"))
-        got = rows.join(owner, matches(["name", "bus", "layer"], s.split_dims), "inner")
+        rows = union_by_name([cast_declared(with_missing(f, types | {"attribute": "VARCHAR"}), types).select(*map(q, s.row_columns), F.lit(d).alias("depth")) for d, f in held])
+        if len(held) == 1 and self.base is None and held[0][0] >= self._last_removal:
+            # one layer has the attribute and no later one removes names: it owns each of its keys
+            return expand(rows.drop("depth").withColumn("attribute", F.lit(attribute)), s.split_dims, self.axes)
+        owned = self.inputs_map([attribute]) if among is None else self._inputs_map(frozenset([attribute]), among)
+        owner = renamed(owned.select("name", "bus", *map(q, s.split_dims), "depth"))
+        got = rows.join(owner, matches(["name", "bus", "depth"], s.split_dims), "inner")
         pick = [F.coalesce(q(c), q(R + c)).alias(c) if c in s.split_dims else F.lit(attribute).alias(c) if c == "attribute" else q(c) for c in s.row_columns]
         return got.select(*pick)
 
@@ -240,19 +265,19 @@ class Resolver:
         s = self.schema
         key, dims = (s.member_key, s.member_dims) if kind == "components" else (s.link_key, s.link_dims)
         frames = []
-        for layer in self.layers:
+        for d, layer in enumerate(self.layers):
             if ctype in getattr(layer, kind):
                 f = with_missing(getattr(layer, kind)[ctype], s.types_of(key))
                 f = f.filter(~q("deleted")).drop("deleted") if "deleted" in f.columns else f
                 f = cast_declared(f.drop("_row", "order_key"), s.types_of(c for c in f.columns if c in key or c in s.attributes.get(ctype, {}) or c == "role"))
-                frames.append(f.withColumn("component_type", F.lit(ctype)).withColumn("layer", F.lit(layer.id)))
+                frames.append(f.withColumn("component_type", F.lit(ctype)).withColumn("__depth", F.lit(d)))
         if not frames:
             return empty(self.spark, s.types_of(["component_type", *key, "order_key"]))
         rows = union_by_name(frames)
-        owner = self.entity_map(kind).filter(q("component_type") == ctype)
+        owner = self.entity_map(kind).filter(q("component_type") == ctype).select(*map(q, key), q("depth").alias("__depth"), "order_key")
         exact = [k for k in key if k not in dims]
-        got = rows.join(renamed(owner), matches([*exact, "layer"], dims), "inner")
-        pick = [F.coalesce(q(c), q(R + c)).alias(c) if c in dims else q(c) for c in rows.columns if c != "layer"]
+        got = rows.join(renamed(owner), matches([*exact, "__depth"], dims), "inner")
+        pick = [F.coalesce(q(c), q(R + c)).alias(c) if c in dims else q(c) for c in rows.columns if c != "__depth"]
         return got.select(*pick, q(R + "order_key").alias("order_key"))
 
     def outputs(self, attribute: str) -> DataFrame:

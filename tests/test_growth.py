@@ -26,6 +26,25 @@ def test_links_are_counted_once_a_session(spark):
         assert "InMemoryRelation" in plan(f)
 
 
-@pytest.mark.parametrize("name", ["store_connections"])
+def test_flags_are_folded_before_labels_are_spread(spark):
+    got = plan(stack(spark, SF, 3).inputs_map(["demand"]))
+    assert "Aggregate" in got[got.index("Generate explode") :].split("Union")[0].replace("collect_set", "")
+
+
+def test_a_single_layer_is_read_without_a_join_of_its_keys(spark):
+    rows = stack(spark, SF, 0).attribute("demand")
+    assert "bit_or" not in plan(rows)
+    assert rows.count() == stack(spark, SF, 0).attribute("demand", rows.select("name")).count()
+
+
+def test_a_removal_below_is_not_passed_over(spark):
+    """The attribute is of one layer, but a later one removes some of its names."""
+    every = layers(spark, SF)
+    rows = Resolver(spark, SCHEMA, [every[0], every[2]]).attribute("demand")
+    dead = rows.filter("CAST(substr(name, 2) AS INT) % 97 = 0 OR (CAST(substr(name, 2) AS INT) % 89 = 0 AND scenario = 'low')")
+    assert dead.isEmpty() and not rows.isEmpty()
+
+
+@pytest.mark.parametrize("name", ["store_connections", "store_overlay", "store_materialised", "store_owner_map", "edits_rolled_back"])
 def test_results_stay_those_of_the_sql(spark, name):
     matches(spark, name)
