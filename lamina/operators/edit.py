@@ -413,7 +413,10 @@ class WorkingRecord:
             self.rollback()
             return child
         store = self.store or Store(self.spark, target.uri.rsplit("/", 1)[0])
-        view = self._view
+        now = self._resolver
+        # every type is read by the same maps: folded once for all of them
+        once = Resolver(self.spark, self.schema, now.layers, now.base, keep=True)
+        view = LayeredRecord(once)
         flat = Layer("flat", dict(view.dims.items()), view.components, view.connections, view.attributes, self.outputs)
         write_record(store, _Source(self.schema, flat), uri=target.uri, strict=strict)
         self.rollback()
