@@ -9,8 +9,8 @@ from typing import Protocol, runtime_checkable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.functions.frames import cast_declared, ordered, q, semi, union_by_name, with_missing
-from lamina.operators.resolve import Resolver, flags_by_scan
+from lamina.functions.frames import R, cast_declared, matches, ordered, q, renamed, union_by_name, with_missing
+from lamina.operators.resolve import Resolver
 from lamina.schema import Schema
 from lamina.sources.layers import Frames, Layer
 
@@ -91,6 +91,7 @@ class DirectoryRecord:
             schema = Schema() if text is None else Schema.from_json(text)
         self.spark, self.uri, self.schema = spark, uri, schema
         self.layer: Layer = read_layer(spark, files, uri, schema, "directory")
+        self._flags: dict[str, dict[str, Flags]] | None = None
 
     @property
     def dims(self) -> Mapping[str, DataFrame]:
@@ -130,11 +131,30 @@ class DirectoryRecord:
         return self._by("attribute", self.layer.outputs, self.schema.types_of(["name", "bus", *self.schema.dimensions, "breakpoint"]))
 
     def flags(self, ctype: str) -> dict[str, Flags]:
-        if ctype not in self.components:
+        if self._flags is None:
+            self._flags = self._every_flag()
+        return self._flags.get(ctype, {})
+
+    def _every_flag(self) -> dict[str, dict[str, Flags]]:
+        """Flags of every type in one pass: of each name first, so that names and not rows are joined;
+        as many rows reach the driver as types times attributes."""
+        dims, yes = list(self.schema.dimensions), []
+        for n, d in enumerate(dims):
+            yes += [(f"v{n}", q(d).isNotNull()), (f"b{n}", q(d).isNull())]
+        yes.append(("bp", q("breakpoint").isNotNull()))
+        own = {a: with_missing(f, self.schema.types_of(["bus", *dims, "breakpoint"])) for a, f in self.attributes.items()}
+        if not own:
             return {}
-        names = self.components[ctype].select("name")
-        frames = {a: semi(f, names, ["name"]) for a, f in self.attributes.items()}
-        return as_flags(flags_by_scan(frames, self.schema)) if frames else {}
+        named = union_by_name([f.groupBy("name").agg(*[F.bool_or(c).alias(k) for k, c in yes]).select(F.lit(a).alias("attribute"), "*") for a, f in own.items()])
+        found = [f.select("name").distinct().withColumn("component_type", F.lit(t)) for t, f in self.components.items()]
+        if not found:
+            return {}
+        rows = named.join(renamed(union_by_name(found)), matches(["name"])).groupBy(q(R + "component_type").alias("component_type"), "attribute")
+        out: dict[str, dict[str, Flags]] = {}
+        for r in sorted(rows.agg(*[F.bool_or(k).alias(k) for k, _ in yes]).collect()):
+            on = lambda p: frozenset(d for n, d in enumerate(dims) if r[f"{p}{n}"])  # noqa: B023, E731
+            out.setdefault(r.component_type, {})[r.attribute] = Flags(on("v"), on("b"), r.bp)
+        return out
 
 
 def default_fill(rows: DataFrame, members: DataFrame, axes: Mapping[str, DataFrame], schema: Schema, attribute: str) -> DataFrame:

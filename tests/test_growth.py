@@ -45,6 +45,6 @@ def test_a_removal_below_is_not_passed_over(spark):
     assert dead.isEmpty() and not rows.isEmpty()
 
 
-@pytest.mark.parametrize("name", ["store_connections", "store_overlay", "store_materialised", "store_owner_map", "edits_rolled_back", "flatten_directory"])
+@pytest.mark.parametrize("name", ["store_connections", "store_overlay", "store_materialised", "store_owner_map", "edits_rolled_back", "flatten_directory", "directory_flags"])
 def test_results_stay_those_of_the_sql(spark, name):
     matches(spark, name)
