@@ -66,9 +66,13 @@ def empty(spark: SparkSession, columns: dict[str, str]) -> DataFrame:
 def latest_per(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by ``order``; NULL keys group together.
 
-    One aggregate that combines before the shuffle, so a key's older rows stay where they are.
+    One aggregate that combines before the shuffle, so a key's older rows stay where they are; by one
+    column of order, each other column apart, which is a hash aggregate where they are numbers.
     """
     rest = [c for c in df.columns if c not in key]
+    if len(order) == 1:
+        each = [F.max(q(c)).alias(c) if c in order else F.max_by(q(c), q(order[0])).alias(c) for c in rest]
+        return df.groupBy(*map(q, key)).agg(*each).select(*map(q, df.columns))
     best = df.groupBy(*map(q, key)).agg(F.max_by(F.struct(*map(q, rest)), F.struct(*map(q, order))).alias("__last"))
     return best.select(*[q(c) if c in key else F.col("__last").getField(c).alias(c) for c in df.columns])
 

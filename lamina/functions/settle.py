@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,8 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as of now, checkpointed in the folder that the cluster names."""
+    """``df`` as of now, written to the folder that the cluster names: as parquet, of which a reader
+    takes the columns it needs; as a checkpoint where parquet has no such type."""
     spark = df.sparkSession
+    if not re.search('"(void|interval[^"]*)"', df.schema.json()):
+        path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -139,7 +139,7 @@ class WorkingRecord:
 
     def _types_of(self, names: Sequence[str]) -> dict[str, str]:
         """Type of each asked-for name; only those names are collected."""
-        rows = self._resolver.entity_map("components").filter(q("name").isin(list(names))).select("name", "component_type").distinct().collect()
+        rows = self._members.members_named(names).select("name", "component_type").distinct().collect()
         return {r.name: r.component_type for r in rows}
 
     def _check_names(self, attribute: str, names: Sequence[str]) -> None:
@@ -154,7 +154,7 @@ class WorkingRecord:
     def names_declaring(self, attribute: str) -> DataFrame:
         """Names of the live members whose type declares the attribute."""
         types = list(self.schema.types_with(attribute))
-        return self._resolver.entity_map("components").filter(q("component_type").isin(types)).select("name").distinct()
+        return self._members.entity_map("components").filter(q("component_type").isin(types)).select("name").distinct()
 
     def set(self, attribute: str, value: Any, *, names: Sequence[str] | str | None = None, bus: str | None = None, kind: str = "inputs", **dims: Any) -> None:
         """Stage values: a scalar, sequence, mapping or series, a long frame, or a Column over the
@@ -221,8 +221,8 @@ class WorkingRecord:
         and gives a row of that label.  The result is settled: later edits do not change it."""
         if names is not None:
             self._check_names(attribute, names)
-        rows = self._resolver.attribute(attribute)
-        rows = rows.filter(q("name").isin(list(names))) if names is not None else semi(rows, self.names_declaring(attribute), ["name"])
+        # names are told apart before labels are spread
+        rows = self._resolver.attribute(attribute).filter(q("name").isin(list(names))) if names is not None else self._resolver.attribute(attribute, self.names_declaring(attribute))
         if bus is not None:
             rows = rows.filter(q("bus") == bus)
         for d, v in dims.items():
@@ -242,7 +242,7 @@ class WorkingRecord:
         own = self.schema.attributes.get(ctype, {})
         if "name" not in rows.columns:
             raise RecordError("members need a name")
-        clash = semi(self._resolver.entity_map("components").filter(q("component_type") != ctype), rows, ["name"]).select("name").limit(5).collect()  # a few for the message
+        clash = semi(self._members.entity_map("components").filter(q("component_type") != ctype), rows, ["name"]).select("name").limit(5).collect()  # a few for the message
         if clash:
             raise RecordError(f"names of another type: {[r.name for r in clash]}")
         varying = [c for c in rows.columns if c in own and own[c].varying]
@@ -313,7 +313,9 @@ class WorkingRecord:
         now removed have none."""
         s = self.schema
         frames = [f.withColumn("_seq", F.lit(n)) for n, k, a, f in self._values if k == kind and a == attribute]
-        rows = latest_per(union_by_name(frames), ["name", "bus", *s.dimensions, "attribute", "breakpoint"], ["_seq", "_nth"]).drop("_seq", "_nth")
+        # of one call, places alone tell which row is later
+        order = ["_nth"] if len(frames) == 1 else ["_seq", "_nth"]
+        rows = latest_per(union_by_name(frames), ["name", "bus", *s.dimensions, "attribute", "breakpoint"], order).drop("_seq", "_nth")
         if kind == "inputs":
             for k, key, dims in (("components", s.member_key, s.member_dims), ("connections", s.link_key, s.link_dims)):
                 last = self.collapsed_entities(k)
@@ -326,15 +328,17 @@ class WorkingRecord:
         of their keys whose coordinate no staged row covers; a staged NULL covers every label."""
         s = self.schema
         key = ["name", "bus", *s.split_dims]
-        owned = expand(staged.select(*map(q, key), *map(q, s.whole_dims)), s.split_dims, self._base.axes).distinct()
-        rows = semi(self._base.attribute(attribute), owned, key)
         spec = s.spec(attribute)
-        for d in s.whole_dims:
-            if d in self._base.axes and spec is not None and d in spec.dims:
-                # labels were edited under a row that holds for all: it goes on for the others
-                named = owned.filter(q(d).isNotNull())
-                rows = expand(semi(rows, named, key), [d], self._base.axes).unionByName(anti(rows, named, key))
-        return anti(rows, staged, ["name", "bus"], list(s.dimensions))
+        spread = [d for d in s.whole_dims if d in self._base.axes and spec is not None and d in spec.dims]
+        # a row a key, and of which axes it has labels
+        owned = expand(staged.select(*map(q, key), *map(q, spread)), s.split_dims, self._base.axes)
+        owned = owned.groupBy(*map(q, key)).agg(F.count("*").alias("__n"), *[F.bool_or(q(d).isNotNull()).alias("__named_" + d) for d in spread])
+        rows = self._base.attribute(attribute, staged.select("name"))
+        rows = rows.join(renamed(owned), matches(key)).select(*map(q, rows.columns), *[q(R + "__named_" + d).alias("__named_" + d) for d in spread])
+        for d in spread:
+            # labels were edited under a row that holds for all: it goes on for the others
+            rows = expand(rows, [d], self._base.axes, q("__named_" + d))
+        return anti(rows.select(*map(q, s.row_columns)), staged, ["name", "bus"], list(s.dimensions))
 
     def staged_layer(self) -> Layer:
         entities: dict[str, dict[str, DataFrame]] = {"components": {}, "connections": {}}
@@ -355,8 +359,9 @@ class WorkingRecord:
             if a not in held:
                 staged = self.collapsed_values(a)
                 if any(a in x.inputs for x in self._base.layers):
-                    # read by the owner map and by the rows, and written at commit: computed once
-                    staged = settled(staged.unionByName(self.restated(a, staged)))
+                    # read by the owner map and by the rows, and written at commit: each part is computed once
+                    staged = settled(staged)
+                    staged = staged.unionByName(settled(self.restated(a, staged)))
                 held[a] = staged
             return held[a]
 
@@ -373,6 +378,11 @@ class WorkingRecord:
             self._now = Resolver(self.spark, self.schema, [*self._base.layers, self.staged_layer()], self._base.base)
         return self._now
 
+    @property
+    def _members(self) -> Resolver:
+        """What resolves members: staged values change none, so the base, whose maps may be kept."""
+        return self._resolver if self._entities else self._base
+
     @property
     def _view(self) -> LayeredRecord:
         return LayeredRecord(self._resolver)
@@ -418,7 +428,10 @@ class WorkingRecord:
         once = Resolver(self.spark, self.schema, now.layers, now.base, keep=True)
         view = LayeredRecord(once)
         flat = Layer("flat", dict(view.dims.items()), view.components, view.connections, view.attributes, self.outputs)
-        write_record(store, _Source(self.schema, flat), uri=target.uri, strict=strict)
+        try:
+            write_record(store, _Source(self.schema, flat), uri=target.uri, strict=strict)
+        finally:
+            once.release()
         self.rollback()
         return DirectoryRecord(self.spark, target.uri)
 
@@ -428,6 +441,8 @@ class WorkingRecord:
         if rows is None:
             return
         live = renamed(rows.filter("NOT deleted").select("name", "component_type"))
+        if live.isEmpty():
+            return
         gone = rows.filter("deleted").select("name")
         old = anti(self._base.entity_map("components"), gone, ["name"])
         bad = old.join(live, matches(["name"])).filter(q("component_type") != q(R + "component_type")).select("name").limit(5).collect()  # a few for the message

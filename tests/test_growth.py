@@ -45,6 +45,13 @@ def test_a_removal_below_is_not_passed_over(spark):
     assert dead.isEmpty() and not rows.isEmpty()
 
 
-@pytest.mark.parametrize("name", ["store_connections", "store_overlay", "store_materialised", "store_owner_map", "edits_rolled_back", "flatten_directory", "directory_flags"])
+def test_settled_rows_are_columns_on_disk(spark):
+    w = WorkingRecord(LayeredRecord(stack(spark, SF, 0)))
+    w.set("demand", F.col("value") * 2)
+    w._resolver.layers[-1].inputs["demand"].count()
+    assert "Relation" in plan(w._values[0][3]) and "parquet" in plan(w._values[0][3])
+
+
+@pytest.mark.parametrize("name", ["store_connections", "store_overlay", "store_materialised", "store_owner_map", "edits_rolled_back", "flatten_directory", "directory_flags", "repeated_coordinates", "commit_new_child", "derived_edit", "staged_tombstone_wins", "values_normalised", "add_members", "read_with_pending"])
 def test_results_stay_those_of_the_sql(spark, name):
     matches(spark, name)
