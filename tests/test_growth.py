@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import lamina.plans.stored  # noqa: F401 - adds its queries to the catalogue
-from lamina.operators.edit import WorkingRecord
-from lamina.operators.record import LayeredRecord
+from lamina.operators.edit import Directory, WorkingRecord
+from lamina.operators.record import DirectoryRecord, LayeredRecord
 from lamina.operators.resolve import Resolver
 from lamina.plans.data import SCHEMA, Tables, layers, pairs, stack
+from lamina.sources.store import Store
 from tests.test_queries import SF, test_query_matches_sql as matches
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -52,6 +53,21 @@ def test_settled_rows_are_columns_on_disk(spark):
     assert "Relation" in plan(w._values[0][3]) and "parquet" in plan(w._values[0][3])
 
 
+def test_a_directory_is_written_from_maps_folded_once(spark, tmp_path, monkeypatch):
+    folds, real = [], Resolver._entity_map
+    monkeypatch.setattr(Resolver, "_entity_map", lambda self, kind: folds.append(kind) or real(self, kind))
+    root = f"file://{tmp_path}"
+    WorkingRecord(LayeredRecord(stack(spark, SF, 3)), Store(spark, root)).commit(Directory(f"{root}/flat"))
+    assert sorted(folds) == ["components", "connections"]
+
+
+def test_flags_of_a_directory_are_read_once(spark, monkeypatch):
+    d = lamina.plans.stored._directory(spark, SF)
+    first = d.flags("Customer")
+    monkeypatch.setattr(DirectoryRecord, "attributes", property(lambda self: pytest.fail("read again")))
+    assert first["demand"].varies == {"snapshot"} and d.flags("Part")["price"].breakpoints and d.flags("none") == {}
+
+
 @pytest.mark.parametrize("name", ["store_connections", "store_overlay", "store_materialised", "store_owner_map", "edits_rolled_back", "flatten_directory", "directory_flags", "repeated_coordinates", "commit_new_child", "derived_edit", "staged_tombstone_wins", "values_normalised", "add_members", "read_with_pending"])
 def test_results_stay_those_of_the_sql(spark, name):
     matches(spark, name)
